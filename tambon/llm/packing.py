@@ -182,3 +182,8 @@ def best_fit(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, separato
 
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit(read_table(spark, sf_dir, "documents"), tokenizer_file())
+
+
+def pack_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pipeline's last stage: what is left, packed; the ids come along."""
+    return best_fit(docs, tokenizer_file(), keep_ids=True)
