@@ -1,0 +1,4 @@
+"""Registered queries and the SQL they are held against."""
+
+QUERIES = {}
+SQL = {}
