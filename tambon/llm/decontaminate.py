@@ -32,14 +32,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .near_dup import stir
-from .shared import only, read_table, stored
+from .shared import only, read_table, stored, worker_cache
 
 SIMILARITY = 0.8
 STRIDE = 8
 REPEATS, BANDS, BITS = 4, 6, 4
 LENGTHS = (4, 8, 16, 32)
 ITEMS, WORDS = 20_000, 2_000_000
-CACHE_CHUNKS = 400_000
+CACHE_CHUNKS = 200_000
 _not_word = re.compile(r"[\W_]+")
 _prime = np.uint64(0x9E3779B97F4A7C15)
 
@@ -53,13 +53,11 @@ class _Hashes(dict):
         return value
 
 
-_hashes = _Hashes()
-
-
 def words(text: str | None) -> np.ndarray:
-    if len(_hashes) > CACHE_CHUNKS:
-        _hashes.clear()
-    h = np.array(list(map(_hashes.__getitem__, (text or "").split())), dtype=np.uint64)
+    hashes = worker_cache("chunk hashes", _Hashes)
+    if len(hashes) > CACHE_CHUNKS:
+        hashes.clear()
+    h = np.array(list(map(hashes.__getitem__, (text or "").split())), dtype=np.uint64)
     return h[h != 0]
 
 

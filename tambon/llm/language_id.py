@@ -17,6 +17,7 @@ by `identify` and ignored by the query.
 from __future__ import annotations
 
 import re
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 
@@ -26,14 +27,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import only, read_table, remainder
+from .shared import only, read_table, remainder, worker_cache
 
 SAMPLE_PER_LANG = 4000
 MAX_LANGS = 256
-MAX_WORDS = 200_000
-MAX_GRAMS = 200_000
+MAX_WORDS = 50_000
+MAX_GRAMS = 50_000
 LONGEST_GRAM = 4
-CACHE_CHUNKS = 400_000
+CACHE_CHUNKS = 150_000
 UNKNOWN = "und"
 _letters = re.compile(r"[^\W\d_]+").findall
 
@@ -42,64 +43,75 @@ class Model:
     """Per-language log frequencies of words and n-grams: rows of a matrix, a column for each language."""
 
     def __init__(self, langs: list[str], words: dict[str, np.ndarray], grams: dict[str, np.ndarray]):
-        self.langs, self.words, self.grams = langs, words, grams
+        self.langs = langs
+        self.words = {w: i for i, w in enumerate(words)}
+        self.grams = {g: i + len(words) for i, g in enumerate(grams)}
+        self.matrix = np.array([*words.values(), *grams.values(), np.zeros(len(langs))]).reshape(-1, len(langs))
 
-    def word(self, word: str) -> np.ndarray:
+    def rows(self, word: str) -> list[int]:
+        """The rows whose mean is the word's score: its own, or those of its longest known n-grams."""
         known = self.words.get(word)
         if known is not None:
-            return known
-        padded = f" {word} "
+            return [known]
+        padded, get = f" {word} ", self.grams.get
         for n in range(LONGEST_GRAM, 0, -1):
-            found = [g for i in range(len(padded) - n + 1) if (g := self.grams.get(padded[i : i + n])) is not None]
+            found = [g for i in range(len(padded) - n + 1) if (g := get(padded[i : i + n])) is not None]
             if found:
-                return sum(found) / len(found)
-        return np.zeros(len(self.langs))
-
-    def chunk(self, chunk: str) -> tuple[int, np.ndarray]:
-        """The number of words in a piece of text without white space, and the sum of their scores."""
-        words = _letters(chunk.lower())
-        return len(words), sum((self.word(w) for w in words), np.zeros(len(self.langs)))
+                return found
+        return [len(self.matrix) - 1]
 
 
 class Scorer:
-    """Keeps what a worker has worked out about chunks, as rows of a growing matrix."""
+    """Keeps what a worker has worked out about chunks (text between white space): number of words and sum of their scores."""
 
     def __init__(self, model: Model):
         self.model = model
         self.clear()
 
     def clear(self) -> None:
-        self.rows: dict[str, int] = {}
-        self.matrix = np.zeros((1024, len(self.model.langs) + 1))
-
-    def _row(self, chunk: str) -> int:
-        at = self.rows[chunk] = len(self.rows)
-        if at == len(self.matrix):
-            self.matrix = np.concatenate([self.matrix, np.zeros_like(self.matrix)])
-        self.matrix[at, 0], self.matrix[at, 1:] = self.model.chunk(chunk)
-        return at
-
-    def __call__(self, text: str | None) -> tuple[str, float]:
-        if not text or not self.model.langs:
-            return UNKNOWN, 0.0
-        if len(self.rows) > CACHE_CHUNKS:
-            self.clear()
-        known, add = self.rows, self._row
-        total = np.zeros(len(self.model.langs) + 1)
-        chunks = text.split()
-        for lo in range(0, len(chunks), 100_000):
-            part = chunks[lo : lo + 100_000]
-            at = [known[c] if c in known else add(c) for c in part]
-            total += self.matrix[at].sum(axis=0)
-        if not total[0]:
-            return UNKNOWN, 0.0
-        # Words are not independent: evidence counts as that of at most 30 words.
-        z = total[1:] / total[0] * min(total[0], 30)
-        p = np.exp(z - z.max())
-        return self.model.langs[int(p.argmax())], float(p.max() / p.sum())
-
-
-_scorers: dict[int, Scorer] = {}
+        self.known: dict[str, int] = {}
+        self.table = np.zeros((0, len(self.model.langs) + 1))
+
+    def learn(self, chunks: list[str]) -> None:
+        rows, sizes, words = [], [], []
+        for chunk in chunks:
+            found = _letters(chunk.lower())
+            words.append(len(found))
+            for w in found:
+                mine = self.model.rows(w)
+                rows += mine
+                sizes.append(len(mine))
+        new = np.zeros((len(chunks), len(self.model.langs) + 1))
+        new[:, 0] = words
+        if rows:
+            sizes = np.array(sizes)
+            means = np.add.reduceat(self.model.matrix[rows], np.cumsum(sizes) - sizes, axis=0) / sizes[:, None]
+            np.add.at(new[:, 1:], np.repeat(np.arange(len(chunks)), words), means)
+        self.known.update(zip(chunks, range(len(self.known), len(self.known) + len(chunks)), strict=True))
+        self.table = np.concatenate([self.table, new])
+
+    def __call__(self, texts: list[str | None]) -> list[tuple[str, float]]:
+        if not self.model.langs:
+            return [(UNKNOWN, 0.0)] * len(texts)
+        out = []
+        for lo in range(0, len(texts), 100):
+            if len(self.known) > CACHE_CHUNKS:
+                self.clear()
+            split = [(t or "").split() for t in texts[lo : lo + 100]]
+            known = self.known
+            new = {c for chunks in split for c in chunks if c not in known}
+            if new:
+                self.learn(list(new))
+            for chunks in split:
+                total = self.table[[known[c] for c in chunks]].sum(axis=0)
+                if not chunks or not total[0]:
+                    out.append((UNKNOWN, 0.0))
+                    continue
+                # Words are not independent: evidence counts as that of at most 30 words.
+                z = total[1:] / total[0] * min(total[0], 30)
+                p = np.exp(z - z.max())
+                out.append((self.model.langs[int(p.argmax())], float(p.max() / p.sum())))
+        return out
 
 
 def _counted(batches: Iterator[pa.RecordBatch], of) -> Iterator[pa.RecordBatch]:
@@ -166,15 +178,12 @@ def fit(docs: DataFrame, per_lang: int = SAMPLE_PER_LANG) -> Model:
 def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """`docs` with lang_pred and score."""
     held = docs.sparkSession.sparkContext.broadcast(model)
-    key = id(held)
+    key = uuid.uuid4().hex
 
     @F.pandas_udf("lang_pred string, score double")
     def predict(texts: pd.Series) -> pd.DataFrame:
-        scorer = _scorers.get(key)
-        if scorer is None:
-            _scorers.clear()
-            scorer = _scorers[key] = Scorer(held.value)
-        return pd.DataFrame([scorer(t) for t in texts], columns=["lang_pred", "score"])
+        scorer = worker_cache(key, lambda: Scorer(held.value))
+        return pd.DataFrame(scorer(texts.tolist()), columns=["lang_pred", "score"])
 
     return docs.withColumn("_found", predict(F.col(text))).withColumns({"lang_pred": F.col("_found.lang_pred"), "score": F.col("_found.score")}).drop("_found")
 

@@ -36,12 +36,12 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import only, read_table, stored
+from .shared import only, read_table, stored, worker_cache
 
 SLOTS, MISS = 5, 1e-5
 WIDE, SIGMAS = 256, 4.75
 BLOCK = 1024
-CACHE_WORDS = 400_000
+CACHE_WORDS = 200_000
 _mix = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -53,9 +53,6 @@ class _Hashes(dict):
         return value
 
 
-_hashes = _Hashes()
-
-
 def stir(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
@@ -67,9 +64,10 @@ def shingle_set(text: str | None, k: int) -> np.ndarray:
     words = (text or "").encode().lower().split()  # of bytes: A-Z only, and white space is exactly 20 and 09-0D
     if not words:
         return np.zeros(0, np.uint64)
-    if len(_hashes) > CACHE_WORDS:
-        _hashes.clear()
-    h = np.array(list(map(_hashes.__getitem__, words)), dtype=np.uint64)
+    hashes = worker_cache("word hashes", _Hashes)
+    if len(hashes) > CACHE_WORDS:
+        hashes.clear()
+    h = np.array(list(map(hashes.__getitem__, words)), dtype=np.uint64)
     span = min(k, len(h))
     out = np.zeros(len(h) - span + 1, np.uint64)
     for i in range(span):

@@ -185,5 +185,5 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pack_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pipeline's last stage: what is left, packed; the ids come along."""
-    return best_fit(docs, tokenizer_file(), keep_ids=True)
+    """The pipeline's last stage: the plan of sequences for what is left (`best_fit(..., keep_ids=True)` brings the ids along)."""
+    return best_fit(docs, tokenizer_file())

@@ -24,6 +24,7 @@ distinct (doc_id, text); a null doc_id is scored; null languages form one group.
 
 from __future__ import annotations
 
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 
@@ -33,12 +34,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import only, read_table, shuffle_partitions, stored
+from .shared import only, read_table, shuffle_partitions, stored, worker_cache
 
 VOCABULARY = 1 << 16
 UNKNOWN, START, FIRST = 0, 1, 2
 BATCH_DOCS, BATCH_WORDS = 1024, 1_000_000
-CACHE_CHUNKS = 400_000
+CACHE_CHUNKS = 200_000
 BROADCAST_LABELS = 20_000_000
 LOW, HIGH, MARGIN = 0.01, 0.98, 0.25
 HELD_OUT = 5
@@ -110,17 +111,6 @@ def discounts(n: np.ndarray) -> np.ndarray:
     return np.array([0, *[float(np.clip(x, 0.05, k + 0.95)) for k, x in enumerate(d)]])
 
 
-_words: dict[int, Words] = {}
-
-
-def _worker_words(held) -> Words:
-    """One per worker process and broadcast."""
-    if id(held) not in _words:
-        _words.clear()
-        _words[id(held)] = Words(held.value if isinstance(held.value, dict) else held.value.vocabulary)
-    return _words[id(held)]
-
-
 def _vocabulary(trusted: DataFrame) -> tuple[dict[str, int], int]:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: Counter = Counter()
@@ -155,10 +145,10 @@ def _rows(rows: list[tuple]) -> pa.RecordBatch:
 
 def _count(trusted: DataFrame, vocabulary: dict[str, int], shards: int) -> DataFrame:
     """A packed row (shard, a: bigrams, b: counts) for each shard, stored."""
-    held = trusted.sparkSession.sparkContext.broadcast(vocabulary)
+    held, key = trusted.sparkSession.sparkContext.broadcast(vocabulary), uuid.uuid4().hex
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, parts, size = _worker_words(held), [], 0
+        words, parts, size = worker_cache(key, lambda: Words(held.value)), [], 0
 
         def flush() -> pa.RecordBatch:
             keys, n = np.unique(np.concatenate(parts), return_counts=True)
@@ -255,11 +245,11 @@ def train(trusted: DataFrame) -> tuple[Model, DataFrame] | None:
 def perplexity(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
     """From (doc_id, text, lang, trusted): doc_id, text_hash, lang, trusted, n_words, log_perplexity."""
     spark = docs.sparkSession
-    held = spark.sparkContext.broadcast(model)
+    held, name = spark.sparkContext.broadcast(model), uuid.uuid4().hex
     docs = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "lang", "trusted", "text")
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, words, part = held.value, _worker_words(held), TaskContext.get().partitionId()
+        model, words, part = held.value, worker_cache(name, lambda: Words(held.value.vocabulary)), TaskContext.get().partitionId()
         docs, keys, of, times, done, size = [], [], [], [], 0, 0
 
         def flush() -> pa.RecordBatch:

@@ -14,6 +14,7 @@ _made: dict[str, SparkSession] = {}
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -76,5 +77,21 @@ def remainder(doc_id: Column, n: int) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % F.lit(n)
 
 
+_worker: dict[str, object] = {}
+
+
+def worker_cache(key: str, make):
+    """An object that a Python worker keeps between tasks. One at a time: another key's object goes, so that stages don't add up their caches."""
+    if key not in _worker:
+        _worker.clear()
+        _worker[key] = make()
+    return _worker[key]
+
+
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Python workers get at most so many rows at a time: texts can be long."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -19,6 +19,7 @@ extra columns are ignored.
 from __future__ import annotations
 
 import re
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 
@@ -28,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import only, read_table, remainder
+from .shared import only, read_table, remainder, worker_cache
 
 SAMPLE_PER_CLASS = 5000
 LEXICON = 20_000
@@ -36,7 +37,7 @@ LEAST_DOCS = 3
 LEAST_WEIGHT = 2.0
 ROUNDS, DEPTH, RATE, BINS = 60, 3, 0.2, 32
 THRESHOLD = 0.3
-CACHE_CHUNKS = 400_000
+CACHE_CHUNKS = 150_000
 NEAR = 5
 #: Second-person words of the corpus languages.
 YOU = frozenset("you your yours yourself u ur du dich dir dein deine deinen deiner ihr euch tu te toi ton ta tes vous votre vos tú ti tus usted ustedes vosotros".split())
@@ -62,15 +63,19 @@ class Chunks:
         at = self.rows[chunk] = len(self.rows)
         if at == len(self.table):
             self.table = np.concatenate([self.table, np.zeros_like(self.table)])
-        weight = max((self.lexicon.get(k, 0.0) for k in keys(chunk)), default=0.0)
-        strange = bool(_strange.search(chunk))
-        hidden = 0.0
-        if not weight and (strange or any(c in "@$!0134578" for c in chunk.strip(_edges))):
-            plain = re.sub(r"[.\-_*]", "", chunk.lower().strip(".,;:!?")).translate(_plain_letters)
-            plain = [plain, re.sub(r"(.)\1{2,}", r"\1", plain)]
-            hidden = max((self.lexicon.get(k, 0.0) for p in plain for k in keys(p)), default=0.0)
-        letters = sum(c.isalpha() for c in chunk)
-        self.table[at] = [max(weight, hidden), chunk.lower().strip(_edges) in YOU, letters, sum(c.isupper() for c in chunk), sum(c in "!?*#@$%&" for c in chunk), strange, hidden > 0, len(chunk)]
+        get, word = self.lexicon.get, chunk.lower().strip(_edges)
+        weight = max(get(word, 0.0), *(get(f"{word[:n]}*", 0.0) for n in (4, 5, 6) if len(word) > n), 0.0)
+        strange, hidden, marks = False, 0.0, 0
+        if not (alphabetic := chunk.isalpha()) or len(set(word)) * 2 < len(word):
+            strange = bool(_strange.search(chunk))
+            if not weight and (strange or any(c in "@$!0134579" for c in chunk.strip(_edges))):
+                plain = re.sub(r"[.\-_*]", "", chunk.lower().strip(".,;:!?")).translate(_plain_letters)
+                plain = [plain, re.sub(r"(.)\1{2,}", r"\1", plain)]
+                hidden = max((get(k, 0.0) for p in plain for k in keys(p)), default=0.0)
+            marks = sum(c in "!?*#@$%&" for c in chunk)
+        letters = len(chunk) if alphabetic else sum(map(str.isalpha, chunk))
+        capitals = 0 if chunk.islower() else sum(map(str.isupper, chunk))
+        self.table[at] = (max(weight, hidden), word in YOU, letters, capitals, marks, strange, hidden > 0, len(chunk))
         return at
 
     def features(self, text: str | None) -> np.ndarray:
@@ -253,21 +258,15 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS) -
     return Model(full, Trees().fit(x, y, w), ends, values, share)
 
 
-_tables: dict[int, Chunks] = {}
-
-
 def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """`docs` with score and predicted."""
     held = docs.sparkSession.sparkContext.broadcast(model)
-    key = id(held)
+    key = uuid.uuid4().hex
 
     @F.pandas_udf("double")
     def of(texts: pd.Series) -> pd.Series:
         model = held.value
-        if key not in _tables:
-            _tables.clear()
-            _tables[key] = Chunks(model.lexicon)
-        chunks = _tables[key]
+        chunks = worker_cache(key, lambda: Chunks(model.lexicon))
         x = np.array([chunks.features(t) for t in texts]).reshape(len(texts), len(NAMES))
         return pd.Series(model.score(x))
 

@@ -17,7 +17,9 @@ from struct import pack as pack_ids
 import numpy as np
 import regex
 
-CACHE_CHUNKS = 400_000
+from .shared import worker_cache
+
+CACHE_CHUNKS = 200_000
 _LONG_CHUNK = 64
 _odd = re.compile(r"[\x1c-\x1f]|<\|")
 #: Chunks of these characters alone are split here: below U+0250 nothing composes under NFC, lower-casing
@@ -35,7 +37,6 @@ def _byte_characters() -> dict[int, str]:
 
 
 _characters = _byte_characters()
-_encoders: dict[str, Encoder] = {}
 
 
 class _Chunks(dict):
@@ -94,6 +95,4 @@ def tokenizer_file(name: str = "word_bpe_49k.json") -> str:
 
 def encoder(path: str) -> Encoder:
     """One per worker process."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+    return worker_cache(path, lambda: Encoder(path))
