@@ -1,4 +1,5 @@
 """Registered queries and the SQL they are held against."""
 
-QUERIES = {}
-SQL = {}
+from .queries import QUERIES, SQL
+
+__all__ = ["QUERIES", "SQL"]
