@@ -10,12 +10,13 @@ CHUNKS follows from the similarity, so that a pair just at the threshold is with
 Documents with equal sets are one class before anything else. Buckets (the classes under one key) are
 never expanded into pairs:
 
-1. each class is compared with the least of its bucket (the head): sizes, then signatures, then
-   full sets. Links give components, by minimum labels with pointer jumping.
+1. each class is compared with the least head of its buckets (a head is the least class of a
+   bucket): sizes, then signatures, then full sets. Links give components, by minimum labels with pointer jumping.
 2. classes that met in some bucket, directly or through others, form a cluster. Most clusters
    are one component by now. In the others, each pair in different components is still to be
    compared: cluster members are dealt to blocks of BLOCK rows, a task takes two blocks and
-   compares signatures as arrays, and only pairs within the distance leave it, for the check on full sets.
+   compares signatures as arrays; where some are within the distance, a second pass brings the texts of
+   those classes alone to the same blocks, checks full sets there, and returns links, not candidates.
 
 So each pair that meets in a bucket is in one component or was compared. The second comparison uses
 WIDE slots of 8 bits, whose distance bound loses a pair at the threshold with probability below MISS.
@@ -33,14 +34,14 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .shared import only, read_table, stored, worker_cache
 
 SLOTS, MISS = 5, 1e-5
 WIDE, SIGMAS = 256, 4.75
-BLOCK = 1024
+BLOCK = 512
 CACHE_WORDS = 200_000
 _mix = np.uint64(0x9E3779B97F4A7C15)
 
@@ -166,34 +167,80 @@ def _close(pairs: DataFrame, marks: DataFrame, similarity: float) -> DataFrame:
     return joined.select("a", "b", "wa", "wb").mapInArrow(near, "a long, b long")
 
 
-def _across(members: DataFrame, similarity: float) -> DataFrame:
-    """From (cluster, c, sid, n, wide): the pairs of a cluster in different components, close by size and signature. Blocks meet, not rows."""
-    most = most_apart(similarity)
+def _deal(members: DataFrame) -> DataFrame:
+    """Rows of a cluster dealt to blocks of about BLOCK, each pair of blocks (i, j) a group with both."""
     sizes = members.groupBy("cluster").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     mine = members.join(sizes, "cluster").withColumn("mine", F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    dealt = mine.select("*", other).select("cluster", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "c", "sid", "n", "wide")
+    return mine.select("*", other).withColumns({"i": F.least("mine", "other"), "j": F.greatest("mine", "other")}).drop("other", "blocks")
+
+
+def _pairs(table: pa.Table, similarity: float):
+    """For each row of the first block, the rows of the second in other components that are close by size and signature."""
+    most = most_apart(similarity)
+    side = table.column("mine").to_numpy()
+    i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
+    wide = np.frombuffer(b"".join(table.column("wide").to_pylist()), np.uint8).reshape(-1, WIDE)
+    c, sid, n = (table.column(x).to_numpy() for x in ("c", "sid", "n"))
+    left, right = np.flatnonzero(side == i), np.flatnonzero(side == j)
+    for x in left:
+        may = (c[right] != c[x]) & (np.minimum(n[right], n[x]) >= similarity * np.maximum(n[right], n[x]))
+        if i == j:
+            may &= sid[right] > sid[x]
+        at = right[may]
+        if len(at):
+            at = at[(wide[at] != wide[x]).sum(axis=1) <= most]
+            if len(at):
+                yield x, at
+
+
+def _involved(members: DataFrame, similarity: float) -> DataFrame:
+    """The sids of `members` (cluster, c, sid, n, wide) that have anyone to be compared with."""
 
     def compare(table: pa.Table) -> pa.Table:
-        side = table.column("mine").to_numpy()
-        i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
-        wide = np.frombuffer(b"".join(table.column("wide").to_pylist()), np.uint8).reshape(-1, WIDE)
-        c, sid, n = (table.column(x).to_numpy() for x in ("c", "sid", "n"))
-        left, right = np.flatnonzero(side == i), np.flatnonzero(side == j)
-        w, cr, sr, nr = wide[right], c[right], sid[right], n[right]
+        hit = np.zeros(table.num_rows, bool)
+        for x, at in _pairs(table, similarity):
+            hit[x] = hit[at] = True
+        return pa.table({"sid": table.column("sid").combine_chunks().filter(pa.array(hit))})
+
+    return _deal(members).groupBy("cluster", "i", "j").applyInArrow(compare, "sid long").distinct()
+
+
+def _joined(members: DataFrame, similarity: float, k: int, percent: int) -> DataFrame:
+    """Links (a, b) among `members` (cluster, c, sid, n, wide, text), by full sets: enough of them in each pair of blocks to join all that is linked there."""
+
+    def compare(table: pa.Table) -> pa.Table:
+        sid, c = table.column("sid").to_numpy(), table.column("c").to_numpy()
+        texts = table.column("text").to_pylist()
+        sets: dict[int, np.ndarray] = {}
+        up = np.unique(c, return_inverse=True)[1].tolist()  # a component to start with
+        root = list(range(max(up, default=-1) + 1))
+
+        def find(x: int) -> int:
+            x = up[x]
+            while root[x] != x:
+                root[x] = root[root[x]]
+                x = root[x]
+            return x
+
+        def of(x: int) -> np.ndarray:
+            if x not in sets:
+                sets[x] = shingle_set(texts[x], k)
+            return sets[x]
+
         a, b = [], []
-        for x in left:
-            may = cr != c[x]
-            may &= (np.minimum(nr, n[x]) >= similarity * np.maximum(nr, n[x])) & ((sr > sid[x]) | (i != j))
-            at = np.flatnonzero(may)
-            if len(at):
-                at = at[(w[at] != wide[x]).sum(axis=1) <= most]
-                a.append(np.full(len(at), sid[x]))
-                b.append(sr[at])
-        empty = [np.zeros(0, np.int64)]
-        return pa.table({"a": pa.array(np.concatenate(a or empty)), "b": pa.array(np.concatenate(b or empty))})
+        for x, at in _pairs(table, similarity):
+            for y in at.tolist():
+                if find(x) != find(y):
+                    p, q = of(x), of(y)
+                    both = len(np.intersect1d(p, q, assume_unique=True))
+                    if 100 * both >= percent * (len(p) + len(q) - both):
+                        root[find(x)] = find(y)
+                        a.append(sid[x])
+                        b.append(sid[y])
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    return dealt.groupBy("cluster", "i", "j").applyInArrow(compare, "a long, b long")
+    return _deal(members).groupBy("cluster", "i", "j").applyInArrow(compare, "a long, b long")
 
 
 def _linked(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
@@ -219,12 +266,11 @@ def _linked(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFra
     return pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(check, "a long, b long")
 
 
-def _texts(docs: DataFrame, marks: DataFrame, pairs: DataFrame, k: int) -> DataFrame:
-    """(sid, text) of the classes in `pairs`: one text each, found by the class's least doc_id and its set."""
-    wanted = pairs.select(F.col("a").alias("sid")).union(pairs.select(F.col("b").alias("sid"))).distinct()
-    named = marks.join(wanted, "sid").select("sid", "text_hash", F.col("least").alias("doc_id"))
+def _texts(docs: DataFrame, marks: DataFrame, sids: DataFrame) -> DataFrame:
+    """(sid, text) of some classes: one text each, found by the class's least doc_id and its text's hash."""
+    named = marks.join(sids.distinct(), "sid").select("sid", F.col("text_hash").alias("_hash"), F.col("least").alias("_doc"))
     rows = docs.where("text is not null").withColumn("text_hash", F.xxhash64("text"))
-    return rows.join(named, (rows.doc_id.eqNullSafe(named.doc_id)) & (rows.text_hash == named.text_hash)).select("sid", "text").dropDuplicates(["sid"])
+    return rows.join(named, rows.doc_id.eqNullSafe(F.col("_doc")) & (F.col("text_hash") == F.col("_hash"))).select("sid", "text").dropDuplicates(["sid"])
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -253,17 +299,22 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
 
     under_keys = marks.select("sid", "signature").mapInArrow(spread, "key long, sid long")
     heads = under_keys.groupBy("key").agg(F.min("sid").alias("head"), F.count("*").alias("n")).where("n > 1").select("key", "head")
-    met = stored(under_keys.join(heads, "key").where("sid != head").select(F.col("head").alias("a"), F.col("sid").alias("b")).distinct(), "met")
-    near = stored(_close(met, marks, similarity), "near")
-    links = stored(_linked(near, _texts(docs, marks, near, k), k, percent), "linked")
+    own = Window.partitionBy("sid")  # a class has chunks * SLOTS rows
+    met = stored(under_keys.join(heads, "key").select("sid", "head").distinct().withColumn("first", F.min("head").over(own)), "met")
+    first = met.where("sid != first").select(F.col("first").alias("a"), F.col("sid").alias("b")).distinct()
+    # Clusters: a class is joined to its first head, and that to the class's other heads. Heads are few, so this is about a row a class.
+    meeting = first.union(met.where("head != first").select(F.col("first").alias("a"), F.col("head").alias("b"))).distinct()
+    clusters = components(meeting).withColumnRenamed("v", "sid").withColumnRenamed("c", "cluster")
+
+    near = stored(_close(first, marks, similarity), "near")
+    links = stored(_linked(near, _texts(docs, marks, near.select(F.explode(F.array("a", "b")).alias("sid"))), k, percent), "linked")
     labels = components(links)
-    clusters = components(met).withColumnRenamed("v", "sid").withColumnRenamed("c", "cluster")
     members = clusters.join(labels.withColumnRenamed("v", "sid"), "sid", "left").withColumn("c", F.coalesce("c", "sid"))
     open_clusters = members.groupBy("cluster").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 < c1").select("cluster")
-    # What was compared with its head need not be again.
-    left = members.join(open_clusters, "cluster").join(marks.select("sid", "n", "wide"), "sid")
-    across = stored(_across(left.select("cluster", "c", "sid", "n", "wide"), similarity).distinct().join(met, ["a", "b"], "left_anti"), "across")
-    more = stored(_linked(across, _texts(docs, marks, across, k), k, percent), "linked")
+    left = stored(members.join(open_clusters, "cluster").join(marks.select("sid", "n", "wide"), "sid").select("cluster", "c", "sid", "n", "wide"), "open")
+    involved = stored(_involved(left, similarity), "involved")
+    texts = _texts(docs, marks, involved)
+    more = stored(_joined(left.join(texts, "sid"), similarity, k, percent), "linked")
     if not more.isEmpty():
         labels = components(links.unionByName(more))
     found = marks.select("set_id", "sid", "least").join(labels.withColumnRenamed("v", "sid"), "sid", "left").withColumn("c", F.coalesce("c", "sid"))
