@@ -46,7 +46,7 @@ class Model:
         self.langs = langs
         self.words = {w: i for i, w in enumerate(words)}
         self.grams = {g: i + len(words) for i, g in enumerate(grams)}
-        self.matrix = np.array([*words.values(), *grams.values(), np.zeros(len(langs))]).reshape(-1, len(langs))
+        self.matrix = np.array([*words.values(), *grams.values(), np.zeros(len(langs))]).reshape(len(words) + len(grams) + 1, len(langs))
 
     def rows(self, word: str) -> list[int]:
         """The rows whose mean is the word's score: its own, or those of its longest known n-grams."""
