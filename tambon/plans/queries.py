@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import thai_text as t
-from ..operators import metrics, split
+from ..operators import metrics, provenance, split
 from ..operators.engine import AddressEngine
 from ..operators.kernel import FIELD, Options
 from ..operators.scoring import Resources
+from ..operators.structured import structured_tuples as tuples_of
 from ..operators.training import family_weights, fit_centroids, fit_contrast, fit_pairwise
 from ..sources import readers
 from .messages import gazetteer, gazetteer_sql, messages, messages_sql
@@ -339,3 +340,48 @@ def contrast_directions(spark, sf_dir):
 def pairwise_directions(spark, sf_dir):
     rows, places = _training(spark, sf_dir)
     return _directions(spark, fit_pairwise(rows, places, Resources("p", 2048, by_label={"NAME": 1.0}), epochs=2))
+
+
+# Structured suffixes
+
+
+@query(f"with m as ({MESSY}), s as (select id, gold_subdistrict as a, gold_district as b, gold_province as c, gold_zipcode as z, raw, cast(gold_zipcode as integer) - 10000 as location_id from m where style = 3), p as (select id, location_id, 'SUBDISTRICT' as label, a as canonical, instr(raw, 'ตำบล' || a) + 3 as start from s union all select id, location_id, 'DISTRICT', b, instr(raw, 'อำเภอ' || b) + 4 from s union all select id, location_id, 'PROVINCE', c, instr(raw, 'จังหวัด' || c) + 6 from s union all select id, location_id, 'POSTCODE', z, length(raw) - 5 from s) select id, cast(0 as integer) as ordinal, label, canonical, cast(start as integer) as start, cast(start + length(canonical) as integer) as \"end\", location_id, cast(0.995 as double) as evidence from p")
+def structured_tuples(spark, sf_dir):
+    return tuples_of(messages(spark, sf_dir, False), gazetteer(spark, sf_dir))
+
+
+# Provenance and gates
+
+
+@query("select n_nationkey, sha256('{\"nation\":\"' || n_name || '\",\"region\":' || n_regionkey || '}') as checksum, 'v-' || left(sha256('{\"nation\":\"' || n_name || '\",\"region\":' || n_regionkey || '}'), 12) as version from nation")
+def build_checksums(spark, sf_dir):
+    made = provenance.json_checksum(F.col("n_name").alias("nation"), F.col("n_regionkey").alias("region"))
+    return table(spark, sf_dir, "nation").select("n_nationkey", made.alias("checksum"), provenance.version("v-", made).alias("version"))
+
+
+@query("select n_regionkey, count(*) as members, sha256(string_agg(sha256(n_name), chr(0) order by sha256(n_name))) as checksum from nation group by 1")
+def set_checksums(spark, sf_dir):
+    rows = table(spark, sf_dir, "nation").select("n_regionkey", F.sha2("n_name", 256).alias("checksum"))
+    return provenance.set_checksum(rows, ["n_regionkey"])
+
+
+@query(f"with g as ({PLACES}) select count(*) as expected, count(*) as found, sha256('[' || string_agg('{{\"id\":' || location_id || ',\"raw\":\"' || subdistrict || '\"}}', ',' order by location_id) || ']') as checksum, 'records differ' as problem from g where location_id % 2 = 0")
+def evaluation_drift(spark, sf_dir):
+    """Against a checksum of other records, so that the drift shows."""
+    places = gazetteer(spark, sf_dir).select(F.col("location_id").alias("id"), F.col("subdistrict").alias("raw"))
+    return provenance.evaluation_drift(places, places.where("id % 2 = 0"), ["id", "raw"], "0" * 64)
+
+
+@query("select distinct unnest(regexp_extract_all(html, 'https?://[0-9A-Za-z_.-]+')) as reference from pages")
+def source_references(spark, sf_dir):
+    return provenance.references(table(spark, sf_dir, "pages"), "html", r"https?://[0-9A-Za-z_.-]+")
+
+
+@query("select 'artifact-' || p_partkey as path, concat_ws(',', case when p_partkey % 7 = 0 then 'missing' when p_partkey % 5 = 0 then 'no gate' when p_partkey % 3 = 0 then 'grandfathered' when p_partkey % 11 = 0 then 'not enforced' when p_partkey % 13 = 0 then 'not passed' end, case when p_partkey % 7 <> 0 and p_partkey % 17 = 0 then 'scale of PROVINCE' end) as failures from part")
+def artifact_gate(spark, sf_dir):
+    k = F.col("p_partkey")
+    gate = F.when(k % 5 != 0, F.struct((k % 11 != 0).alias("enforced"), (k % 13 != 0).alias("passed"), F.when(k % 3 == 0, F.lit(True)).alias("grandfathered")))
+    scales = F.create_map(F.lit("NAME"), F.lit(1.0), F.lit("PROVINCE"), F.when(k % 17 == 0, 0.5).otherwise(0.0))
+    text = F.to_json(F.struct(gate.alias("promotionGate"), F.struct(F.struct(scales.alias("residualScaleByLabel")).alias("scoringConfig")).alias("resources")))
+    rows = table(spark, sf_dir, "part").select(F.concat(F.lit("artifact-"), k.cast("string")).alias("path"), F.when(k % 7 != 0, text).alias("value"))
+    return provenance.artifact_gate(rows).select("path", F.array_join("failures", ",").alias("failures"))
