@@ -46,7 +46,9 @@ _prime = np.uint64(0x9E3779B97F4A7C15)
 
 class _Hashes(dict):
     def __missing__(self, chunk: str) -> int:
-        word = _not_word.sub("", chunk.lower())
+        word = chunk.lower()
+        if not word.isalnum():  # the pattern would find nothing in it
+            word = _not_word.sub("", word)
         value = (xxhash.xxh64_intdigest(word) | 1) if word else 0
         if len(chunk) <= 64:
             self[chunk] = value
@@ -57,7 +59,8 @@ def words(text: str | None) -> np.ndarray:
     hashes = worker_cache("chunk hashes", _Hashes)
     if len(hashes) > CACHE_CHUNKS:
         hashes.clear()
-    h = np.array(list(map(hashes.__getitem__, (text or "").split())), dtype=np.uint64)
+    chunks = (text or "").split()
+    h = np.fromiter(map(hashes.__getitem__, chunks), np.uint64, len(chunks))
     return h[h != 0]
 
 
@@ -86,7 +89,9 @@ def walk(hashes: np.ndarray, starts: np.ndarray, steps: int, visit) -> None:
     for step in range(steps):
         h = hashes[at]
         visit(step, h)
-        at += ((h >> np.uint64(step % 64)) & np.uint64(1)).astype(np.int64)
+        bit = h >> np.uint64(step % 64)
+        bit &= np.uint64(1)
+        at += bit.view(np.int64)
 
 
 class Index:
@@ -104,6 +109,11 @@ class Index:
         self.lengths = sorted(by_length)
         self.steps = 2 * LENGTHS[self.lengths[-1]] if self.lengths else 0
         tail = np.arange(self.steps, dtype=np.uint64)
+        # The items' words as numbers, and a first look at words of texts by their upper bits.
+        self.vocabulary = np.unique(np.concatenate([x for _, x in items]))
+        self.numbered = [np.searchsorted(self.vocabulary, x) for _, x in items]
+        self.known = np.zeros(1 << 20, bool)
+        self.known[self.vocabulary >> np.uint64(44)] = True
         self.tables = {}
         for k in self.lengths:
             which = np.concatenate([np.full(max(1, len(items[i][1]) - LENGTHS[k] + 1), i) for i in by_length[k]])
@@ -142,9 +152,9 @@ class Index:
                 key *= _prime
         return out
 
-    def candidates(self, tokens: np.ndarray) -> list[tuple[int, int]]:
-        """(item, place where it would begin), each once, in order."""
-        found = set()
+    def candidates(self, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Items and the places where they would begin, each pair once, in order."""
+        found = []
         padded = np.append(tokens, np.arange(self.steps, dtype=np.uint64))
         for lo in range(0, len(tokens), self.stride * 16384):
             starts = np.arange(lo, min(len(tokens), lo + self.stride * 16384), self.stride)
@@ -157,9 +167,21 @@ class Index:
                         maybe = np.flatnonzero(bits[key >> np.uint64(44)])
                         if len(maybe):
                             left, right = np.searchsorted(table, key[maybe], "left"), np.searchsorted(table, key[maybe], "right")
-                            for at, a, b in zip(starts[maybe].tolist(), left.tolist(), right.tolist(), strict=True):
-                                found.update((int(which[x]), at - int(start[x])) for x in range(a, b))
-        return sorted(found)
+                            times = right - left
+                            x = np.repeat(left - np.cumsum(times) + times, times) + np.arange(times.sum())
+                            # One number a pair; a place may be below zero by an item's length.
+                            found.append(np.unique((which[x] << 44) + np.repeat(starts[maybe], times) - start[x] + (1 << 40)))
+        pairs = np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
+        return pairs >> 44, (pairs & ((1 << 44) - 1)) - (1 << 40)
+
+    def numbers(self, tokens: np.ndarray) -> np.ndarray:
+        """The tokens as numbers of the items' words; other words get a number of their own."""
+        out = np.full(len(tokens), len(self.vocabulary))
+        maybe = np.flatnonzero(self.known[tokens >> np.uint64(44)])
+        at = np.minimum(np.searchsorted(self.vocabulary, tokens[maybe]), len(self.vocabulary) - 1)
+        right = self.vocabulary[at] == tokens[maybe]
+        out[maybe[right]] = at[right]
+        return out
 
     def matches(self, texts: list[np.ndarray]) -> list[tuple[int, int, int, int, int]]:
         """(number of the text, item, distance, first word, word after the last), the best place of each pair."""
@@ -167,24 +189,33 @@ class Index:
         if not len(ends) or not ends[-1] or not self.items:
             return []
         tokens, best, tried = np.concatenate(texts), {}, {}
-        for item, place in self.candidates(tokens):
+        items, places = self.candidates(tokens)
+        if not len(items):
+            return []
+        numbers, here = self.numbers(tokens), np.zeros(len(self.vocabulary) + 1, bool)
+        sizes = np.array([len(x) for _, x in self.items])[items]
+        last_word = int(ends[-1]) - 1
+        docs_of = [np.searchsorted(ends, np.clip(x, 0, last_word), "right").tolist() for x in (places, places + sizes // 2, places + sizes - 1)]
+        for item, place, *docs in zip(items.tolist(), places.tolist(), *docs_of, strict=True):
             words = self.items[item][1]
             most = allowed(len(words), self.similarity)
             # The window's place says where the item begins, but for the edits before it and the walk's own.
             slack = most + self.stride
-            middle = min(max(place + len(words) // 2, 0), int(ends[-1]) - 1)
-            for doc in {int(np.searchsorted(ends, min(max(x, 0), int(ends[-1]) - 1), "right")) for x in (place, middle, place + len(words) - 1)}:
+            for doc in set(docs):
                 first, last = (int(ends[doc - 1]) if doc else 0), int(ends[doc])
-                if tried.get((doc, item), (-1, -1))[0] <= place <= tried.get((doc, item), (-1, -1))[1]:
+                before = tried.get((doc, item))
+                if before and before[0] <= place <= before[1]:
                     continue
                 lo, hi = max(first, place - slack), min(last, place + len(words) + slack)
                 if hi <= lo:
                     continue
                 tried[doc, item] = (place, place + max(0, self.stride - 1))
-                part = tokens[lo:hi]
-                if np.isin(words, part).sum() < len(words) - most:
+                here[numbers[lo:hi]] = True
+                shared = np.count_nonzero(here[self.numbered[item]])
+                here[numbers[lo:hi]] = False
+                if shared < len(words) - most:
                     continue
-                distance, a, b = best_passage(words, part)
+                distance, a, b = best_passage(words, tokens[lo:hi])
                 if distance <= most and (doc, item) not in best or distance < best.get((doc, item), (most + 1,))[0]:
                     best[doc, item] = (distance, lo + a - first, lo + b - first)
         return [(doc, item, *x) for (doc, item), x in sorted(best.items())]
