@@ -112,6 +112,8 @@ def discounts(n: np.ndarray) -> np.ndarray:
 
 
 def _vocabulary(trusted: DataFrame) -> tuple[dict[str, int], int]:
+    """The words that have a number, and the number of distinct words, those seen once included: they are what an unknown word stands for."""
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: Counter = Counter()
 
@@ -130,8 +132,8 @@ def _vocabulary(trusted: DataFrame) -> tuple[dict[str, int], int]:
         if found:
             yield flush()
 
-    counts = stored(trusted.select("text").mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).where("n > 1"), "words")
-    rows = counts.orderBy(F.desc("n"), "word").limit(VOCABULARY - FIRST).collect()  # bounded by the vocabulary
+    counts = stored(trusted.select("text").mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
+    rows = counts.where("n > 1").orderBy(F.desc("n"), "word").limit(VOCABULARY - FIRST).collect()  # bounded by the vocabulary
     return {r.word: i + FIRST for i, r in enumerate(rows)}, counts.count()
 
 
