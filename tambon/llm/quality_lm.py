@@ -14,7 +14,8 @@ the counts and one batch at a time; the number of shards follows spark.sql.shuff
 
 The filter: one trusted document in HELD_OUT (by a hash of its id) is kept out of the counts, since the
 model knows its own documents better than others. Per language, the log perplexities of those give the LOW and HIGH quantiles, widened
-by MARGIN times their distance from the median; documents outside go. A language without trusted documents is held against
+by MARGIN times their distance from the median; documents outside go. A counted document is held
+against HIGH alone, as the model finds its own documents easier than those that LOW was set by. A language without trusted documents is held against
 those of all languages together.
 
 Defined cases: null or empty text has null perplexity and goes; without any trusted row every
@@ -374,7 +375,8 @@ def judge(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame:
     bounded = scored.join(F.broadcast(cuts.withColumnRenamed("lang", "_lang")), F.col("lang").eqNullSafe(F.col("_lang")), "left").drop("_lang").join(F.broadcast(every), F.lit(True), "left")
     q = F.coalesce("q", "every")
     low, mid, high = q[0], q[1], q[2]
-    return bounded.select("doc_id", "text_hash", "lang", "trusted", "n_words", F.exp("log_perplexity").alias("perplexity"), F.exp(low - MARGIN * (mid - low)).alias("low"), F.exp(high + MARGIN * (high - mid)).alias("high")).withColumn("kept", F.col("perplexity").isNotNull() & F.coalesce(F.col("perplexity").between(F.col("low"), F.col("high")), F.lit(True)))
+    counted = F.col("trusted") & ~F.coalesce(held_out, F.lit(False))
+    return bounded.select("doc_id", "text_hash", "lang", "trusted", "n_words", F.exp("log_perplexity").alias("perplexity"), F.exp(low - MARGIN * (mid - low)).alias("low"), F.exp(high + MARGIN * (high - mid)).alias("high")).withColumn("kept", F.col("perplexity").isNotNull() & F.coalesce((F.col("perplexity") <= F.col("high")) & (counted | (F.col("perplexity") >= F.col("low"))), F.lit(True)))
 
 
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
