@@ -1,14 +1,16 @@
 """Perplexity under an interpolated modified Kneser-Ney model, and a filter by language.
 
-The model is a bigram model over a closed vocabulary of the VOCABULARY most frequent words of
-trusted text (documents labelled quality = 1); every trusted document is counted, none is sampled. Words are
-white-space chunks without one trailing mark, lower-cased when only the first letter is a capital;
-other words are unknown, and an unknown word also pays log(number of unknown kinds).
-
-Sharded count joins: a bigram is v * VOCABULARY + w, and its shard a mix of it. Counting sends packed
-arrays of distinct bigrams to shards, where they are summed; scoring sends the distinct bigrams of each
-document to the same shards, where they meet the counts. A document's log-probability is what its words give
-when no bigram is known (from arrays over the vocabulary, bounded) plus, for every known bigram, a
+The model is a bigram model over all words of trusted text (documents labelled quality = 1); every trusted
+document and word is counted, none is sampled. Words are white-space chunks without one trailing mark, lower-cased
+when only the first letter is a capital. A word that trusted text doesn't have gets the uniform share of the lower order.
+
+The HEAD most frequent words go by numbers, and what is known of them is held in arrays of that size. All others go by
+64-bit hashes with the top bit set; what is known of them is sharded as bigrams are. The head only saves bytes: scores don't depend on it.
+
+Sharded count joins: a bigram of two numbers is v * HEAD + w, any other a hash of both, and its shard a mix of it. Counting
+sends packed arrays of distinct bigrams to shards, where they are summed; scoring sends the distinct keys of each
+batch of documents (bigrams, and hashed words as words and as histories) to the same shards, where they meet the counts. A
+document's log-probability is what its numbered words give when no bigram is known plus, for every known key, a
 correction. So a shard returns partial sums, and one small shuffle adds them. A task holds one shard of
 the counts and one batch at a time; the number of shards follows spark.sql.shuffle.partitions.
 
@@ -31,14 +33,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .near_dup import stir
 from .shared import only, read_table, shuffle_partitions, stored, worker_cache
 
-VOCABULARY = 1 << 16
-UNKNOWN, START, FIRST = 0, 1, 2
+HEAD = 1 << 16
+START, FIRST = 1, 2  # the uniform distribution has a place for the unknown word and one for the start
+_top, _mix = np.uint64(1 << 63), np.uint64(0x9E3779B97F4A7C15)
 BATCH_DOCS, BATCH_WORDS = 1024, 1_000_000
 CACHE_CHUNKS = 200_000
 BROADCAST_LABELS = 20_000_000
@@ -53,7 +58,7 @@ def normal(chunk: str) -> str:
 
 
 class Words:
-    """From chunk to word number, remembering what was worked out."""
+    """From chunk to word number or hash, remembering what was worked out."""
 
     def __init__(self, vocabulary: dict[str, int]):
         self.vocabulary, self.known = vocabulary, {}
@@ -63,12 +68,13 @@ class Words:
             self.known.clear()
         known, chunks = self.known, (text or "").split()
         try:
-            return np.array([known[c] for c in chunks], dtype=np.uint32)
+            return np.array([known[c] for c in chunks], dtype=np.uint64)
         except KeyError:
             for c in set(chunks):
                 if c not in known:
-                    known[c] = self.vocabulary.get(normal(c), UNKNOWN)
-            return np.array([known[c] for c in chunks], dtype=np.uint32)
+                    word = normal(c)
+                    known[c] = self.vocabulary.get(word) or xxhash.xxh64_intdigest(word) | 1 << 63
+            return np.array([known[c] for c in chunks], dtype=np.uint64)
 
 
 def shard_of(keys: np.ndarray, shards: int) -> np.ndarray:
@@ -76,8 +82,34 @@ def shard_of(keys: np.ndarray, shards: int) -> np.ndarray:
     return ((mixed >> np.uint64(40)) % np.uint64(shards)).astype(np.int64)
 
 
-def bigrams(ids: np.ndarray) -> np.ndarray:
-    return (np.concatenate([[START], ids[:-1]]).astype(np.uint32) << np.uint32(16)) | ids
+def bigrams(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Histories and words."""
+    return np.concatenate([np.array([START], np.uint64), ids[:-1]]), ids
+
+
+def pair_keys(v: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Below HEAD * HEAD if both are numbers, else with the top bit set."""
+    return np.where((v | w) < _top, (v << np.uint64(16)) | w, stir(v * _mix + w) | _top)
+
+
+def history_keys(v: np.ndarray) -> np.ndarray:
+    """Of hashed words as histories; as words, they are their own keys."""
+    return stir(v ^ _mix) | _top
+
+
+def squeezed(x: np.ndarray) -> bytes:
+    """Whole numbers by byte planes, compressed."""
+    if not len(x):
+        return b""
+    return pa.compress(np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes(), codec="zstd", asbytes=True)
+
+
+def unsqueezed(x: bytes, n: int, kind: type) -> np.ndarray:
+    if not n:
+        return np.zeros(0, kind)
+    size = np.dtype(kind).itemsize
+    plain = np.frombuffer(pa.decompress(x, decompressed_size=n * size, codec="zstd"), np.uint8)
+    return np.ascontiguousarray(plain.reshape(size, n).T).reshape(-1).view(kind)
 
 
 def _split(keys: np.ndarray, shards: int):
@@ -88,18 +120,20 @@ def _split(keys: np.ndarray, shards: int):
 
 
 class Model:
-    """What is kept besides the counts: arrays over the vocabulary, all of bounded size."""
+    """What is kept besides the counts: arrays over the head, all of bounded size. `floor` is the log-probability of a word never seen."""
 
-    def __init__(self, vocabulary: dict[str, int], discounts: np.ndarray, total: np.ndarray, log_rest: np.ndarray, log_low: np.ndarray, unknown_kinds: int, shards: int):
-        self.vocabulary, self.discounts, self.total, self.log_rest, self.log_low, self.shards = vocabulary, discounts, total, log_rest, log_low, shards
-        self.unknown_cost = float(np.log(max(1, unknown_kinds)))
+    def __init__(self, vocabulary: dict[str, int], discounts: np.ndarray, total: np.ndarray, log_rest: np.ndarray, log_low: np.ndarray, floor: float, shards: int):
+        self.vocabulary, self.discounts, self.total, self.log_rest, self.log_low, self.floor, self.shards = vocabulary, discounts, total, log_rest, log_low, floor, shards
 
-    def corrections(self, keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    def gains(self, counts: np.ndarray, total: np.ndarray, log_rest: np.ndarray, log_low: np.ndarray) -> np.ndarray:
         """log p(w | v) of known bigrams less what the lower order alone gives."""
+        low = log_rest + log_low
+        return np.log((counts - self.discounts[np.minimum(counts, 3)]) / total + np.exp(low)) - low
+
+    def corrections(self, keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """The gains of bigrams of two numbers."""
         v, w = keys >> np.uint32(16), keys & np.uint32(0xFFFF)
-        low = self.log_rest[v] + self.log_low[w]
-        p = (counts - self.discounts[np.minimum(counts, 3)]) / self.total[v] + np.exp(low)
-        return np.log(p) - low
+        return self.gains(counts, self.total[v], self.log_rest[v], self.log_low[w])
 
 
 def discounts(n: np.ndarray) -> np.ndarray:
@@ -112,8 +146,8 @@ def discounts(n: np.ndarray) -> np.ndarray:
     return np.array([0, *[float(np.clip(x, 0.05, k + 0.95)) for k, x in enumerate(d)]])
 
 
-def _vocabulary(trusted: DataFrame) -> tuple[dict[str, int], int]:
-    """The words that have a number, and the number of distinct words, those seen once included: they are what an unknown word stands for."""
+def _vocabulary(trusted: DataFrame, head: int) -> tuple[dict[str, int], int]:
+    """The words that have a number, and the number of distinct words."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: Counter = Counter()
@@ -134,7 +168,7 @@ def _vocabulary(trusted: DataFrame) -> tuple[dict[str, int], int]:
             yield flush()
 
     counts = stored(trusted.select("text").mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
-    rows = counts.where("n > 1").orderBy(F.desc("n"), "word").limit(VOCABULARY - FIRST).collect()  # bounded by the vocabulary
+    rows = counts.orderBy(F.desc("n"), "word").limit(head - FIRST).collect()  # the others go by hashes
     return {r.word: i + FIRST for i, r in enumerate(rows)}, counts.count()
 
 
@@ -147,102 +181,204 @@ def _rows(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def _count(trusted: DataFrame, vocabulary: dict[str, int], shards: int) -> DataFrame:
-    """A packed row (shard, a: bigrams, b: counts) for each shard, stored."""
+    """Packed rows for each shard, stored: kind 0 (a: bigrams of numbers, b: counts), kind 1 (a: histories and words of others, b: counts)."""
     held, key = trusted.sparkSession.sparkContext.broadcast(vocabulary), uuid.uuid4().hex
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, parts, size = worker_cache(key, lambda: Words(held.value)), [], 0
+        words, plain, others, size = worker_cache(key, lambda: Words(held.value)), [], [], 0
 
         def flush() -> pa.RecordBatch:
-            keys, n = np.unique(np.concatenate(parts), return_counts=True)
+            keys, n = np.unique(np.concatenate(plain), return_counts=True)
+            order, at = _split(keys, shards)
+            keys, n = keys[order], n[order].astype(np.uint32)
+            rows = [(s, 0, 0, keys[at[s] : at[s + 1]].tobytes(), n[at[s] : at[s + 1]].tobytes(), None) for s in range(shards) if at[s] < at[s + 1]]
+            pairs = np.concatenate(others, axis=1)
+            keys, first, n = np.unique(pair_keys(*pairs), return_index=True, return_counts=True)
             order, at = _split(keys, shards)
-            keys, n = keys[order], np.minimum(n[order], 2**32 - 1).astype(np.uint32)
-            return _rows([(s, 0, 0, keys[at[s] : at[s + 1]].tobytes(), n[at[s] : at[s + 1]].tobytes(), None) for s in range(shards) if at[s] < at[s + 1]])
+            pairs, n = pairs[:, first[order]], n[order].astype(np.uint32)
+            return _rows(rows + [(s, 1, 0, pairs[:, at[s] : at[s + 1]].tobytes(), n[at[s] : at[s + 1]].tobytes(), None) for s in range(shards) if at[s] < at[s + 1]])
 
         for batch in batches:
             for text in batch.column(0).to_pylist():
                 ids = words.of(text)
                 if len(ids):
-                    parts.append(bigrams(ids))
+                    v, w = bigrams(ids)
+                    numbers = (v | w) < _top
+                    plain.append(pair_keys(v[numbers], w[numbers]).astype(np.uint32))
+                    others.append(np.stack([v[~numbers], w[~numbers]]))
                     size += len(ids)
                     if size > 4 * BATCH_WORDS:
                         yield flush()
-                        parts, size = [], 0
-        if parts:
+                        plain, others, size = [], [], 0
+        if plain:
             yield flush()
 
     def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, parts, size = None, [], 0
+        now, parts, size = None, [], 0
 
         def summed():
-            keys, back = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
-            return keys, np.bincount(back, np.concatenate([p[1] for p in parts])).astype(np.int64)
+            n = np.concatenate([p[1] for p in parts])
+            if now[1]:
+                pairs = np.concatenate([p[0] for p in parts], axis=1)
+                _, first, back = np.unique(pair_keys(*pairs), return_index=True, return_inverse=True)
+                keys = np.ascontiguousarray(pairs[:, first])
+            else:
+                keys, back = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+            return keys, np.bincount(back, n).astype(np.int64)
+
+        def out() -> pa.RecordBatch:
+            keys, n = summed()
+            return _rows([(*now, 0, keys.tobytes(), n.tobytes(), None)])
 
         for batch in batches:
-            for s, a, b in zip(batch.column(0).to_pylist(), batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True):
-                if s != shard and parts:
-                    keys, n = summed()
-                    yield _rows([(shard, 0, 0, keys.tobytes(), n.tobytes(), None)])
+            for s, kind, a, b in zip(*(batch.column(i).to_pylist() for i in (0, 1, 3, 4)), strict=True):
+                if (s, kind) != now and parts:
+                    yield out()
                     parts, size = [], 0
-                shard = s
-                parts.append((np.frombuffer(a, np.uint32), np.frombuffer(b, np.uint32)))
-                size += len(parts[-1][0])
+                now = s, kind
+                parts.append((np.frombuffer(a, np.uint64).reshape(2, -1) if kind else np.frombuffer(a, np.uint32), np.frombuffer(b, np.uint32)))
+                size += len(parts[-1][1])
                 if size > 8_000_000 and len(parts) > 1:
                     parts = [summed()]
-                    size = len(parts[0][0])
+                    size = len(parts[0][1])
         if parts:
-            keys, n = summed()
-            yield _rows([(shard, 0, 0, keys.tobytes(), n.tobytes(), None)])
+            yield out()
 
     packed = trusted.select("text").mapInArrow(local, PACKED_SQL)
-    return stored(packed.repartition(shuffle_partitions(trusted.sparkSession), "shard").sortWithinPartitions("shard").mapInArrow(merged, PACKED_SQL), "bigrams")
+    return stored(packed.repartition(shuffle_partitions(trusted.sparkSession), "shard").sortWithinPartitions("shard", "kind").mapInArrow(merged, PACKED_SQL), "bigrams")
 
 
-def _statistics(counts: DataFrame, vocabulary: dict[str, int], kinds: int, shards: int) -> Model:
+def _statistics(counts: DataFrame, vocabulary: dict[str, int], kinds: int, shards: int) -> tuple[Model, DataFrame]:
+    """The model, and (id, total, log_rest, log_low) of each hashed word."""
+
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.zeros((VOCABULARY, 5), np.int64)  # as history: total, kinds seen once, twice, more often; as word: kinds of histories
+        table = np.zeros((HEAD, 5), np.int64)  # as history: total, kinds seen once, twice, more often; as word: kinds of histories
         n = np.zeros(4, np.int64)
+
+        def cells(ids: np.ndarray, table: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(ids.astype(np.int64)), *[pa.array(np.ascontiguousarray(table[:, k])) for k in range(5)]], names=["id", *"abcde"])
+
+        def add(table: np.ndarray, v: np.ndarray, c: np.ndarray, w: np.ndarray) -> None:
+            table[:, 0] += np.bincount(v, c, len(table)).astype(np.int64)
+            for k in (1, 2, 3):
+                table[:, k] += np.bincount(v[(c == k) if k < 3 else (c >= 3)], minlength=len(table))
+            table[:, 4] += np.bincount(w, minlength=len(table))
+
         for batch in batches:
-            for a, b in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True):
-                keys, c = np.frombuffer(a, np.uint32), np.frombuffer(b, np.int64)
-                v, w = keys >> np.uint32(16), keys & np.uint32(0xFFFF)
-                table[:, 0] += np.bincount(v, c, VOCABULARY).astype(np.int64)
-                for k in (1, 2, 3):
-                    table[:, k] += np.bincount(v[(c == k) if k < 3 else (c >= 3)], minlength=VOCABULARY)
-                table[:, 4] += np.bincount(w, minlength=VOCABULARY)
+            for kind, a, b in zip(*(batch.column(i).to_pylist() for i in (1, 3, 4)), strict=True):
+                c = np.frombuffer(b, np.int64)
                 n += np.bincount(np.minimum(c, 5), minlength=6)[1:5]
+                if not kind:
+                    keys = np.frombuffer(a, np.uint32)
+                    add(table, keys >> np.uint32(16), c, keys & np.uint32(0xFFFF))
+                    continue
+                v, w = np.frombuffer(a, np.uint64).reshape(2, -1)
+                add(table, v[v < _top].astype(np.int64), c[v < _top], w[w < _top].astype(np.int64))
+                ids = np.unique(np.concatenate([v[v >= _top], w[w >= _top]]))
+                own = np.zeros((len(ids), 5), np.int64)
+                add(own, np.searchsorted(ids, v[v >= _top]), c[v >= _top], np.searchsorted(ids, w[w >= _top]))
+                yield cells(ids.view(np.int64), own)
         some = np.flatnonzero(table.any(axis=1))
-        ids, cells = np.append(some, np.arange(-4, 0)), np.vstack([table[some], np.column_stack([n, np.zeros((4, 4), np.int64)])])
-        yield pa.RecordBatch.from_arrays([pa.array(ids.astype(np.int32)), *[pa.array(np.ascontiguousarray(cells[:, k])) for k in range(5)]], names=["id", *"abcde"])
+        yield cells(np.append(some, HEAD + np.arange(4)), np.vstack([table[some], np.column_stack([n, np.zeros((4, 4), np.int64)])]))
 
-    got = counts.mapInArrow(sums, "id int, a long, b long, c long, d long, e long").groupBy("id").agg(*[F.sum(x).alias(x) for x in "abcde"]).toPandas()  # bounded by the vocabulary
-    table, n = np.zeros((VOCABULARY, 5), np.int64), np.zeros(4)
-    words = got[got.id >= 0]
+    found = stored(counts.mapInArrow(sums, "id long, a long, b long, c long, d long, e long").groupBy("id").agg(*[F.sum(x).alias(x) for x in "abcde"]), "word statistics")
+    got = found.where("id >= 0").toPandas()  # bounded by the head; hashes are below zero
+    table, n = np.zeros((HEAD, 5), np.int64), np.zeros(4)
+    words = got[got.id < HEAD]
     table[words.id] = words[list("abcde")]
-    rest = got[got.id < 0]
-    n[rest.id + 4] = rest.a
+    rest = got[got.id >= HEAD]
+    n[rest.id - HEAD] = rest.a
     d = discounts(n)
-    total = table[:, 0]
-    left = table[:, 1] * d[1] + table[:, 2] * d[2] + table[:, 3] * d[3]
-    with np.errstate(divide="ignore", invalid="ignore"):
-        log_rest = np.where(total > 0, np.log(left / np.maximum(total, 1)), 0.0)
     # The lower order: in how many contexts a word was seen, itself discounted and interpolated with the uniform distribution.
-    seen = table[:, 4]
-    e = discounts(np.bincount(np.minimum(seen, 5), minlength=6)[1:5])
-    cut = e[np.minimum(seen, 3)]
-    size = len(vocabulary) + FIRST
-    low = (seen - cut) / max(1, seen.sum()) + cut.sum() / max(1, seen.sum()) / size
-    return Model(vocabulary, d, np.maximum(total, 1), log_rest, np.log(np.maximum(low, 1e-12)), kinds - len(vocabulary), shards)
+    contexts = {r.k: (r.times, r.whole) for r in found.where(f"id < {HEAD} and e > 0").groupBy(F.least("e", F.lit(5)).alias("k")).agg(F.count("*").alias("times"), F.sum("e").alias("whole")).collect()}
+    e = discounts(np.array([contexts.get(k, (0, 0))[0] for k in (1, 2, 3, 4)]))
+    whole = sum(x for _, x in contexts.values())
+    floor = sum(e[min(k, 3)] * times for k, (times, _) in contexts.items()) / max(1, whole) / (kinds + FIRST)
+
+    def worked_out(table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        total, seen = table[:, 0], table[:, 4]
+        left = table[:, 1] * d[1] + table[:, 2] * d[2] + table[:, 3] * d[3]
+        with np.errstate(divide="ignore", invalid="ignore"):
+            log_rest = np.where(total > 0, np.log(left / np.maximum(total, 1)), 0.0)
+        return np.maximum(total, 1), log_rest, np.log(np.maximum((seen - e[np.minimum(seen, 3)]) / max(1, whole) + floor, 1e-15))
+
+    def of_hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            total, log_rest, log_low = worked_out(np.column_stack([batch.column(k).to_numpy() for k in range(1, 6)]))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(total), pa.array(log_rest), pa.array(log_low)], names=["id", "total", "log_rest", "log_low"])
+
+    hashed = found.where("id < 0").mapInArrow(of_hashed, "id long, total long, log_rest double, log_low double")
+    return Model(vocabulary, d, *worked_out(table), float(np.log(max(floor, 1e-15))), shards), stored(hashed, "hashed words")
+
+
+def _gains(counts: DataFrame, hashed: DataFrame, model: Model) -> DataFrame:
+    """Packed rows (a: keys, b: gains) of kind 1: of hashed words, as words and as histories, and of bigrams with any."""
+    held = counts.sparkSession.sparkContext.broadcast(model)
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True):
+                v, w = np.frombuffer(a, np.int64).reshape(2, -1)
+                yield pa.RecordBatch.from_arrays([pa.array(v), pa.array(w), pa.array(np.frombuffer(b, np.int64))], names=["v", "w", "n"])
+
+    def packed(batches: Iterator[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        parts, size, shards = [], 0, held.value.shards
 
+        def flush() -> pa.RecordBatch:
+            keys, gains = (np.concatenate(x) for x in zip(*parts, strict=True))
+            order, at = _split(keys, shards)
+            keys, gains = keys[order], gains[order].astype(np.float32)
+            return _rows([(s, 1, 0, keys[at[s] : at[s + 1]].tobytes(), gains[at[s] : at[s + 1]].tobytes(), None) for s in range(shards) if at[s] < at[s + 1]])
+
+        for part in batches:
+            parts.append(part)
+            size += len(part[0])
+            if size > BATCH_WORDS:
+                yield flush()
+                parts, size = [], 0
+        if size:
+            yield flush()
+
+    def of_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = held.value
+
+        def known():
+            for batch in batches:
+                v, w, n = (batch.column(k).to_numpy() for k in range(3))
+                total, log_rest, log_low = (batch.column(k).to_numpy(zero_copy_only=False) for k in (3, 4, 5))  # null, so nan, for numbers
+                a, b = np.maximum(v, 0), np.maximum(w, 0)
+                total, log_rest, log_low = np.where(v < 0, total, model.total[a]), np.where(v < 0, log_rest, model.log_rest[a]), np.where(w < 0, log_low, model.log_low[b])
+                yield pair_keys(v.view(np.uint64), w.view(np.uint64)), model.gains(n, total, log_rest, log_low)
+
+        return packed(known())
 
-def train(trusted: DataFrame) -> tuple[Model, DataFrame] | None:
+    def of_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def known():
+            for batch in batches:
+                ids, log_rest, log_low = batch.column(0).to_numpy().view(np.uint64), batch.column(2).to_numpy(), batch.column(3).to_numpy()
+                yield np.concatenate([ids, history_keys(ids)]), np.concatenate([log_low - held.value.floor, log_rest])
+
+        return packed(known())
+
+    rows = counts.where("kind = 1").mapInArrow(pairs, "v long, w long, n long")
+    before, after = hashed.select(F.col("id").alias("v"), "total", "log_rest"), hashed.select(F.col("id").alias("w"), "log_low")
+    none = F.lit(None).cast("double")
+    # Numbers are never joined on: only words outside the head are, and none of them is frequent.
+    first = rows.where("v < 0").join(before, "v").select("v", "w", "n", F.col("total").cast("double"), "log_rest")
+    rest = rows.where("v >= 0").select("v", "w", "n", none.alias("total"), none.alias("log_rest"))
+    joined = first.where("w >= 0").withColumn("log_low", none).unionByName(first.where("w < 0").unionByName(rest).join(after, "w"))
+    return stored(joined.select("v", "w", "n", "total", "log_rest", "log_low").mapInArrow(of_pairs, PACKED_SQL).unionByName(hashed.mapInArrow(of_words, PACKED_SQL)), "gains")
+
+
+def train(trusted: DataFrame, head: int = HEAD) -> tuple[Model, DataFrame] | None:
     """The model and its counts from the texts of `trusted`; None without any word."""
     shards = 4 * shuffle_partitions(trusted.sparkSession)
-    vocabulary, kinds = _vocabulary(trusted)
+    vocabulary, kinds = _vocabulary(trusted, head)
     if not vocabulary:
         return None
     counts = _count(trusted, vocabulary, shards)
-    return _statistics(counts, vocabulary, kinds, shards), counts
+    model, hashed = _statistics(counts, vocabulary, kinds, shards)
+    return model, counts.where("kind = 0").unionByName(_gains(counts, hashed, model))
 
 
 def perplexity(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
@@ -258,17 +394,27 @@ def perplexity(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
         def flush() -> pa.RecordBatch:
             number = (part << 32) + done
             key, doc, n = np.concatenate(keys), np.repeat(np.arange(len(docs), dtype=np.uint16), of), np.concatenate(times)
-            order, at = _split(key, model.shards)
+            order = np.argsort(key, kind="stable")
+            order = order[_split(key[order], model.shards)[0]]
             key, doc, n = key[order], doc[order], n[order]
+            new = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
+            one, many = key[new], np.diff(np.append(new, len(key))).astype(np.uint16)
+            at = np.searchsorted(shard_of(one, model.shards), np.arange(model.shards + 1))
+            to = np.append(new, len(key))[at]
             table = pa.Table.from_pylist(docs, schema=DOCS)
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, DOCS) as out:
                 out.write_table(table)
-            rows = [(done % model.shards, 2, number, sink.getvalue().to_pybytes(), None, None)]
+            rows = [(done % model.shards, 3, number, sink.getvalue().to_pybytes(), None, None)]
             for s in range(model.shards):
                 lo, hi = at[s], at[s + 1]
                 if lo < hi:
-                    rows.append((s, 1, number, key[lo:hi].tobytes(), doc[lo:hi].tobytes(), n[lo:hi].tobytes()))
+                    # Sorted keys, those of numbers first, as differences.
+                    x, y = one[lo:hi], slice(to[s], to[s + 1])
+                    low = int(np.searchsorted(x, _top))
+                    a = np.array([low, hi - lo - low, to[s + 1] - to[s]], np.int32).tobytes()
+                    small, large = (squeezed(np.diff(k, prepend=k.dtype.type(0))) for k in (x[:low].astype(np.uint32), x[low:]))
+                    rows.append((s, 2, number, a + np.int32(len(small)).tobytes() + small + large, squeezed(many[lo:hi]), np.int32(len(z := squeezed(doc[y]))).tobytes() + z + squeezed(n[y])))
             return _rows(rows)
 
         for batch in batches:
@@ -276,11 +422,12 @@ def perplexity(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
                 ids = words.of(text)
                 row = {"doc_id": doc_id, "text_hash": text_hash, "lang": lang, "trusted": trusted, "n": len(ids), "base": 0.0}
                 if len(ids):
-                    all_keys = bigrams(ids)
-                    row["base"] = float(model.log_rest[all_keys >> np.uint32(16)].sum() + model.log_low[ids].sum() - model.unknown_cost * np.count_nonzero(ids == UNKNOWN))
-                    some, count = np.unique(all_keys, return_counts=True)
+                    v, w = bigrams(ids)
+                    hashed = w[w >= _top]
+                    row["base"] = float(model.log_rest[v[v < _top].astype(np.int64)].sum() + model.log_low[w[w < _top].astype(np.int64)].sum() + model.floor * len(hashed))
+                    some, count = np.unique(np.concatenate([pair_keys(v, w), hashed, history_keys(v[v >= _top])]), return_counts=True)
                 else:
-                    some, count = np.zeros(0, np.uint32), np.zeros(0, np.int64)
+                    some, count = np.zeros(0, np.uint64), np.zeros(0, np.int64)
                 docs.append(row)
                 keys.append(some)
                 of.append(len(some))
@@ -293,22 +440,34 @@ def perplexity(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
             yield flush()
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, shard, known, gain = held.value, None, np.zeros(0, np.uint32), np.zeros(0)
+        model, shard, known, gain, more = held.value, None, np.zeros(0, np.uint64), np.zeros(0), []
         for batch in batches:
             for i in range(batch.num_rows):
                 s, kind, number, a, b, c = (batch.column(k)[i].as_py() for k in range(6))
                 if s != shard:
-                    shard, known, gain = s, np.zeros(0, np.uint32), np.zeros(0)
+                    shard, known, gain, more = s, np.zeros(0, np.uint64), np.zeros(0), []
                 if kind == 0:
                     known = np.frombuffer(a, np.uint32)
                     gain = model.corrections(known, np.frombuffer(b, np.int64))
-                elif kind == 2:
+                    known = known.astype(np.uint64)
+                elif kind == 1:
+                    more.append((np.frombuffer(a, np.uint64), np.frombuffer(b, np.float32)))
+                elif kind == 3:
                     yield _rows([(0, 2, number, a, None, None)])
-                elif len(known):
-                    keys, doc, n = np.frombuffer(a, np.uint32), np.frombuffer(b, np.uint16), np.frombuffer(c, np.uint16)
+                else:
+                    if more:
+                        keys, gains = (np.concatenate(x) for x in zip(*more, strict=True))
+                        order = np.argsort(keys)
+                        known, gain, more = np.append(known, keys[order]), np.append(gain, gains[order]), []
+                    if not len(known):
+                        continue
+                    low, high, pairs, size = np.frombuffer(a, np.int32, 4).tolist()
+                    keys = np.append(np.cumsum(unsqueezed(a[16 : 16 + size], low, np.uint32), dtype=np.uint64), np.cumsum(unsqueezed(a[16 + size :], high, np.uint64), dtype=np.uint64))
+                    size = int(np.frombuffer(c, np.int32, 1)[0])
+                    many, doc, n = unsqueezed(b, low + high, np.uint16), unsqueezed(c[4 : 4 + size], pairs, np.uint16), unsqueezed(c[4 + size :], pairs, np.uint16)
                     at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
-                    hit = known[at] == keys
-                    sums = np.bincount(doc[hit], gain[at[hit]] * n[hit], BATCH_DOCS)
+                    own = np.repeat(np.where(known[at] == keys, gain[at], 0.0), many)
+                    sums = np.bincount(doc, own * n, BATCH_DOCS)
                     some = np.flatnonzero(sums).astype(np.uint16)
                     if len(some):
                         yield _rows([(0, 1, number, some.tobytes(), sums[some].astype(np.float32).tobytes(), None)])

@@ -263,6 +263,49 @@ def test_quality_model_against_direct_kneser_ney(spark):
         assert got[k] == pytest.approx(-np.mean(logs), rel=1e-4)
 
 
+def direct_kneser_ney(texts, m):
+    """Text to log-perplexity, by the formula over all words of `texts`."""
+    from collections import Counter
+
+    split = lambda t: list(map(m.normal, t.split()))
+    pairs = Counter(p for t in texts for p in zip(["<s>", *split(t)], split(t), strict=False))
+    d = m.discounts(np.array([sum(c == k for c in pairs.values()) for k in (1, 2, 3, 4)]))
+    total, kinds, into = Counter(), Counter(), Counter()
+    for (v, w), c in pairs.items():
+        total[v] += c
+        kinds[v] += d[min(c, 3)]
+        into[w] += 1
+    e = m.discounts(np.array([sum(c == k for c in into.values()) for k in (1, 2, 3, 4)]))
+    whole = sum(into.values())
+    mass = sum(e[min(c, 3)] for c in into.values()) / whole
+    low = lambda w: (into[w] - e[min(into[w], 3)]) / whole + mass / (len(into) + m.FIRST)
+
+    def of(text):
+        words = split(text)
+        return -np.mean([np.log(max(0, pairs[v, w] - d[min(pairs[v, w], 3)]) / total[v] + kinds[v] / total[v] * low(w) if total[v] else low(w)) for v, w in zip(["<s>", *words], words, strict=False)])
+
+    return of
+
+
+@pytest.mark.parametrize("kinds, head", [(70_000, None), (300, 40)])
+def test_quality_model_counts_every_word(spark, kinds, head):
+    """More kinds than have numbers: those outside the head count as much, and words never seen get the uniform share."""
+    from tambon.llm import quality_lm as m
+
+    r = random.Random(8)
+    words = [f"kind{k}" for k in range(kinds)]
+    tokens = words * 2 + words[: kinds // 2] + words[-50:] * 4
+    r.shuffle(tokens)
+    texts = [" ".join(tokens[k : k + 1000]) for k in range(0, len(tokens), 1000)]
+    model, counts = m.train(docs(spark, [(k, t, "en") for k, t in enumerate(texts)]), **({"head": head} if head else {}))
+    asked = texts[:3] + [" ".join(r.choice([*words, "never", "seen"]) for _ in range(60)) for _ in range(20)] + ["never", "seen never", words[-1], " ".join(texts[0].split()[:9] * 5)]
+    df = docs(spark, [(k, t, "en") for k, t in enumerate(asked)]).withColumn("trusted", F.lit(False))
+    got = {x.doc_id: x.log_perplexity for x in m.perplexity(df, model, counts).collect()}
+    direct = direct_kneser_ney(texts, m)
+    for k, t in enumerate(asked):
+        assert got[k] == pytest.approx(direct(t), rel=1e-4)
+
+
 def test_quality_edges(spark):
     from tambon.llm import quality_lm as m
 
