@@ -431,7 +431,7 @@ def perplexity(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
                 docs.append(row)
                 keys.append(some)
                 of.append(len(some))
-                times.append(np.minimum(count, 65535).astype(np.uint16))
+                times.append(count.astype(np.uint32))
                 size += len(ids)
                 if len(docs) == BATCH_DOCS or size > BATCH_WORDS:
                     yield flush()
@@ -464,7 +464,7 @@ def perplexity(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
                     low, high, pairs, size = np.frombuffer(a, np.int32, 4).tolist()
                     keys = np.append(np.cumsum(unsqueezed(a[16 : 16 + size], low, np.uint32), dtype=np.uint64), np.cumsum(unsqueezed(a[16 + size :], high, np.uint64), dtype=np.uint64))
                     size = int(np.frombuffer(c, np.int32, 1)[0])
-                    many, doc, n = unsqueezed(b, low + high, np.uint16), unsqueezed(c[4 : 4 + size], pairs, np.uint16), unsqueezed(c[4 + size :], pairs, np.uint16)
+                    many, doc, n = unsqueezed(b, low + high, np.uint16), unsqueezed(c[4 : 4 + size], pairs, np.uint16), unsqueezed(c[4 + size :], pairs, np.uint32)
                     at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
                     own = np.repeat(np.where(known[at] == keys, gain[at], 0.0), many)
                     sums = np.bincount(doc, own * n, BATCH_DOCS)

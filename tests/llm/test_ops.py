@@ -306,6 +306,19 @@ def test_quality_model_counts_every_word(spark, kinds, head):
         assert got[k] == pytest.approx(direct(t), rel=1e-4)
 
 
+def test_quality_of_a_word_repeated_200000_times(spark):
+    from tambon.llm import quality_lm as m
+
+    texts = [prose(300 + k, 200) for k in range(5)] + ["alpha1 alpha1 beta2 alpha1 beta2 beta2"]
+    model, counts = m.train(docs(spark, [(k, t, "en") for k, t in enumerate(texts)]))
+    asked = ["alpha1 " * 200_000, "alpha1 beta2 " * 100_000]
+    df = docs(spark, [(k, t, "en") for k, t in enumerate(asked)]).withColumn("trusted", F.lit(False))
+    got = {x.doc_id: x.log_perplexity for x in m.perplexity(df, model, counts).collect()}
+    direct = direct_kneser_ney(texts, m)
+    for k, t in enumerate(asked):
+        assert got[k] == pytest.approx(direct(t), rel=1e-4)
+
+
 def test_quality_edges(spark):
     from tambon.llm import quality_lm as m
 
