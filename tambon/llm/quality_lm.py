@@ -17,11 +17,13 @@ the counts and one batch at a time; the number of shards follows spark.sql.shuff
 The filter: one trusted document in HELD_OUT (by a hash of its id) is kept out of the counts, since the
 model knows its own documents better than others. Per language, the log perplexities of those give the LOW and HIGH quantiles, widened
 by MARGIN times their distance from the median; documents outside go. A counted document is held
-against HIGH alone, as the model finds its own documents easier than those that LOW was set by. A language without trusted documents is held against
-those of all languages together.
+against HIGH alone, as the model finds its own documents easier than those that LOW was set by. Fewer than LEAST_HELD held-out documents say little
+of their language: its bounds are then widened to hold those of all languages together, and the distances of all languages from their median, widened
+too, around the median of the language's held-out documents and that of all its documents. A language without trusted documents is
+held against those of all languages together.
 
 Defined cases: null or empty text has null perplexity and goes; without any trusted row every
-document's perplexity is null and nothing is filtered; with too few to hold any out, none is filtered but those without words; repeated rows get equal scores, and a row per
+document's perplexity is null and nothing is filtered; with fewer than LEAST_HELD held out in all, none is filtered but those without words; repeated rows get equal scores, and a row per
 distinct (doc_id, text); a null doc_id is scored; null languages form one group.
 """
 
@@ -49,6 +51,7 @@ CACHE_CHUNKS = 200_000
 BROADCAST_LABELS = 20_000_000
 LOW, HIGH, MARGIN = 0.01, 0.98, 0.25
 HELD_OUT = 5
+LEAST_HELD = 30
 
 
 def normal(chunk: str) -> str:
@@ -528,14 +531,21 @@ def judge(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame:
     scored = stored(perplexity(docs, *trained), "perplexity").dropDuplicates(["doc_id", "text_hash"])
     shares = [LOW, 0.5, HIGH]
     known = scored.where("trusted and log_perplexity is not null").where(held_out)
-    cuts = known.groupBy("lang").agg(F.percentile_approx("log_perplexity", shares, F.lit(10_000)).alias("q"))
-    every = known.agg(F.percentile_approx("log_perplexity", shares, F.lit(10_000)).alias("every"))
-    # A row for each language, and one row.
-    bounded = scored.join(F.broadcast(cuts.withColumnRenamed("lang", "_lang")), F.col("lang").eqNullSafe(F.col("_lang")), "left").drop("_lang").join(F.broadcast(every), F.lit(True), "left")
-    q = F.coalesce("q", "every")
-    low, mid, high = q[0], q[1], q[2]
+    cuts = known.groupBy("lang").agg(F.percentile_approx("log_perplexity", shares, F.lit(10_000)).alias("q"), F.count("*").alias("held")).withColumnRenamed("lang", "_cut")
+    every = known.agg(F.percentile_approx("log_perplexity", shares, F.lit(10_000)).alias("every"), F.count("*").alias("all_held"))
+    usual = scored.where("log_perplexity is not null").groupBy(F.col("lang").alias("_lang")).agg(F.percentile_approx("log_perplexity", 0.5, F.lit(10_000)).alias("usual"), F.max("trusted").alias("some"))
+    # A row for each language.
+    q, every_q, held = F.col("q"), F.col("every"), F.coalesce("held", F.lit(0))
+    lower, upper = (lambda x: x[0] - MARGIN * (x[1] - x[0])), (lambda x: x[2] + MARGIN * (x[2] - x[1]))
+    wide = (1 + MARGIN) * (1 + 1 / F.sqrt(F.greatest(held, F.lit(1))))
+    usual_of = F.when(F.col("some"), F.col("usual"))
+    down, up = wide * (every_q[1] - every_q[0]), wide * (every_q[2] - every_q[1])
+    few = F.when(F.col("all_held") >= LEAST_HELD, F.struct(F.least(lower(every_q), lower(q), q[1] - down, usual_of - down).alias("low"), F.greatest(upper(every_q), upper(q), q[1] + up, usual_of + up).alias("high")))
+    limits = F.when(held >= LEAST_HELD, F.struct(lower(q).alias("low"), upper(q).alias("high"))).otherwise(few)
+    bounds = usual.join(F.broadcast(cuts), F.col("_lang").eqNullSafe(F.col("_cut")), "left").join(F.broadcast(every), F.lit(True), "left").select("_lang", F.exp(limits["low"]).alias("low"), F.exp(limits["high"]).alias("high"))
+    bounded = scored.join(F.broadcast(bounds), F.col("lang").eqNullSafe(F.col("_lang")), "left")
     counted = F.col("trusted") & ~F.coalesce(held_out, F.lit(False))
-    return bounded.select("doc_id", "text_hash", "lang", "trusted", "n_words", F.exp("log_perplexity").alias("perplexity"), F.exp(low - MARGIN * (mid - low)).alias("low"), F.exp(high + MARGIN * (high - mid)).alias("high")).withColumn("kept", F.col("perplexity").isNotNull() & F.coalesce((F.col("perplexity") <= F.col("high")) & (counted | (F.col("perplexity") >= F.col("low"))), F.lit(True)))
+    return bounded.select("doc_id", "text_hash", "lang", "trusted", "n_words", F.exp("log_perplexity").alias("perplexity"), "low", "high").withColumn("kept", F.col("perplexity").isNotNull() & F.coalesce((F.col("perplexity") <= F.col("high")) & (counted | (F.col("perplexity") >= F.col("low"))), F.lit(True)))
 
 
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

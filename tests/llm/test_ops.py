@@ -319,6 +319,31 @@ def test_quality_of_a_word_repeated_200000_times(spark):
         assert got[k] == pytest.approx(direct(t), rel=1e-4)
 
 
+def test_quality_of_rare_languages(spark):
+    """Languages with one to five trusted documents keep their clean ones, beside one with many, which still loses its junk."""
+    from tambon.llm import quality_lm as m
+
+    r = random.Random(12)
+    text = lambda lang: " ".join(r.choice(WORDS) + lang + str(int(r.paretovariate(0.7)) % 60) for _ in range(r.randint(40, 120)))
+    rows, good, clean, junk = [], [], {}, []
+    for k in range(600):
+        rows.append((k, text("en"), "en"))
+        if k < 400:
+            good.append(k)
+    for n in range(1, 6):
+        clean[f"l{n}"] = range(1000 * n + 5, 1000 * n + 65)
+        good += range(1000 * n, 1000 * n + n)
+        rows += [(k, text(f"l{n}"), f"l{n}") for k in [*range(1000 * n, 1000 * n + n), *clean[f"l{n}"]]]
+    for k in range(9000, 9040):
+        rows.append((k, " ".join(f"{r.getrandbits(40):x}" for _ in range(60)), "en"))
+        junk.append(k)
+    labels = spark.createDataFrame([(k, 1) for k in good], "doc_id long, quality int")
+    kept = {x.doc_id: x.kept for x in m.judge(spark, docs(spark, rows), labels).collect()}
+    for n in range(1, 6):
+        assert np.mean([kept[k] for k in clean[f"l{n}"]]) >= 0.95
+    assert not any(kept[k] for k in junk) and np.mean([kept[k] for k in range(600)]) >= 0.95
+
+
 def test_quality_edges(spark):
     from tambon.llm import quality_lm as m
 
