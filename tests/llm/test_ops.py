@@ -197,6 +197,27 @@ def test_decontamination_recall():
         assert found >= least * len(items)
 
 
+@pytest.mark.parametrize("size", [5, 12, 13, 15, 23, 39, 40, 42, 44, 46, 48, 60, 80])
+def test_decontamination_recall_by_kind_of_edit(size):
+    """All the edits that the distance allows, of one kind."""
+    from tambon.llm import decontaminate as m
+
+    r = random.Random(size)
+    new = lambda n: [r.getrandbits(63) | 1 for _ in range(n)]
+    items = [(k, np.array(new(size), np.uint64)) for k in range(100)]
+    least = m.shortest(size, m.SIMILARITY)
+    index = m.Index(items, m.STRIDE if least >= m.STRIDE + m.LENGTHS[0] - 1 else 1, m.SIMILARITY)
+    for kind in ("deleted", "inserted", "substituted"):
+        texts = []
+        for _, item in items:
+            words = item.tolist()
+            for at in sorted(r.sample(range(size), size - least), reverse=True):
+                words[at : at + (kind != "inserted")] = new(kind != "deleted")
+            texts.append(np.array([*new(20 + r.randrange(8)), *words, *new(40)], np.uint64))
+        found = {x[:2] for x in index.matches(texts)}
+        assert sum((k, k) in found for k in range(100)) >= 95, kind
+
+
 def test_language(spark):
     from tambon.llm import language_id as m
 
