@@ -273,8 +273,8 @@ def _texts(docs: DataFrame, marks: DataFrame, sids: DataFrame) -> DataFrame:
     return rows.join(named, rows.doc_id.eqNullSafe(F.col("_doc")) & (F.col("text_hash") == F.col("_hash"))).select("sid", "text").dropDuplicates(["sid"])
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """From (doc_id, text): doc_id, text_hash, n_shingles, component_id, kept, a row for each row."""
+def _grouped(docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """From (doc_id, text): doc_id, text_hash, n_shingles, set_id, component (null for empty sets, else of classes), component_id (its least doc_id), a row for each row."""
     docs = only(docs, doc_id="long", text="string")
     similarity = percent / 100
     chunks = chunks_for(similarity)
@@ -319,8 +319,13 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
         labels = components(links.unionByName(more))
     found = marks.select("set_id", "sid", "least").join(labels.withColumnRenamed("v", "sid"), "sid", "left").withColumn("c", F.coalesce("c", "sid"))
     least = found.groupBy("c").agg(F.min("least").alias("component_id"))
-    named = stored(found.join(least, "c").select("set_id", "component_id"), "components")
-    out = filed.select("doc_id", "text_hash", "n_shingles", "set_id").join(named, "set_id", "left")
+    named = stored(found.join(least, "c").select("set_id", F.col("c").alias("component"), "component_id"), "components")
+    return filed.select("doc_id", "text_hash", "n_shingles", "set_id").join(named, "set_id", "left")
+
+
+def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """From (doc_id, text): doc_id, text_hash, n_shingles, component_id, kept, a row for each row."""
+    out = _grouped(docs, k, percent)
     component = F.when(F.col("set_id").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select("doc_id", "text_hash", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
@@ -330,11 +335,18 @@ def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pipeline's stage: of each group of near-duplicates (five words, similarity 0.8) one document stays."""
-    found = stored(near_duplicates(docs), "near-duplicates")
-    gone = found.where("not kept").select(F.col("doc_id").alias("_doc"), F.col("text_hash").alias("_hash"))
-    same = F.col("doc_id").eqNullSafe(F.col("_doc")) & F.coalesce(F.xxhash64("text"), F.lit(0)).eqNullSafe(F.col("_hash"))
+    """The pipeline's stage: of each group of near-duplicates (five words, similarity 0.8) one row stays, and every row without words.
+
+    It is a row of the group's least (doc_id, text_hash), null ids last; of equal ones, any one.
+    """
+    found = stored(_grouped(docs, 5, 80).where("set_id is not null").select("doc_id", "text_hash", "component"), "near-duplicates")
+    first = found.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("first"))
+    first = first.select(F.col("first.doc_id").alias("_doc"), F.col("first.text_hash").alias("_hash"))
+    keys = found.groupBy("doc_id", "text_hash").agg(F.count("*").alias("times"))
+    gone = keys.join(first, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("text_hash") == F.col("_hash")), "left_anti").select(F.col("doc_id").alias("_doc"), F.col("text_hash").alias("_hash"))
+    same = F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.xxhash64("text") == F.col("_hash"))
     left = docs.join(gone, same, "left_anti")
-    if found.where("kept and doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
+    twice = stored(keys.where("times > 1").select(F.col("doc_id").alias("_doc"), F.col("text_hash").alias("_hash")), "repeated")
+    if twice.isEmpty():
         return left
-    return left.dropDuplicates(["doc_id"])
+    return left.join(twice, same, "left_anti").unionByName(left.join(twice, same, "left_semi").dropDuplicates(["doc_id", "text"]))

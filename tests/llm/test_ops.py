@@ -135,6 +135,21 @@ def test_near_duplicates_against_brute_force(spark):
     assert m.near_duplicates(odd(spark).where("false")).count() == 0
 
 
+@pytest.mark.parametrize("repeated", [False, True])
+def test_stage_keeps_one_row_of_each_group(spark, repeated):
+    """Null ids, ids shared by different texts and repeated rows: what stays of a group doesn't depend on other rows."""
+    from tambon.llm import near_dup as m
+
+    a, b, c, d, e = (prose(700 + k, 80) for k in range(5))
+    rows = [(1, a), (2, a + " more"), (None, b), (None, b), (None, b + " more"), (None, c), (7, d), (7, e), (None, None), (None, ""), (3, None)]
+    rows += [(1, a), (3, None), (7, e)] if repeated else []
+    left = [(r.doc_id, r.text) for r in m.keep(spark, docs(spark, [(i, t, "en") for i, t in rows]), "").collect()]
+    of_b = [t for _, t in left if t and t.startswith(b)]
+    assert len(of_b) == 1
+    empty = [(None, None), (None, ""), (3, None)] + ([(3, None)] if repeated else [])
+    assert sorted(left, key=str) == sorted([(1, a), (None, of_b[0]), (None, c), (7, d), (7, e), *empty], key=str)
+
+
 def test_vectors_against_brute_force(spark):
     from tambon.llm import vector_join as m
 
