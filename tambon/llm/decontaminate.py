@@ -6,7 +6,7 @@ a random function of step and word says; sequences at a small edit distance then
 step by step, so that edit distance becomes Hamming distance. Windows of documents, about as long as items, are
 embedded at every STRIDE-th word; items at each of their words that leaves a whole window, so that
 some pair of windows is aligned whatever the passage's place. REPEATS independent walks are sampled at BITS
-places BANDS times each. A window is so short that the shortest passage within the distance (all edits deletions) holds one at a
+places BANDS times each (twice as often for items looked up at stride 1). A window is so short that the shortest passage within the distance (all edits deletions) holds one at a
 stride's place, and at most half of that passage. Windows that agree with an item in a sample are candidates, and each
 candidate is verified: the item's word edit distance to the best passage there must be at most
 (1 - SIMILARITY) of its length. Over random texts with as many deletions, insertions or substitutions as that allows, these values
@@ -38,7 +38,7 @@ from .shared import only, read_table, stored, worker_cache
 SIMILARITY = 0.8
 STRIDE = 8
 REPEATS, BANDS, BITS = 4, 6, 4
-LENGTHS = (4, 8, 16, 32)
+LENGTHS = (4, 6, 8, 12, 16, 32)
 ITEMS, WORDS = 20_000, 2_000_000
 CACHE_CHUNKS = 200_000
 _not_word = re.compile(r"[\W_]+")
@@ -105,10 +105,11 @@ class Index:
 
     def __init__(self, items: list[tuple[int, np.ndarray]], stride: int, similarity: float, seed: int = 7):
         self.items, self.stride, self.similarity = items, stride, similarity
+        self.bands = BANDS if stride > 1 else 2 * BANDS  # short items have few windows
         rng = np.random.default_rng(seed)
         self.steps = 2 * LENGTHS[-1]
         # places[repeat][length] is a list of bands, each a list of steps below twice the length.
-        self.places = [[[np.sort(rng.choice(2 * n, BITS, replace=False)) for _ in range(BANDS)] for n in LENGTHS] for _ in range(REPEATS)]
+        self.places = [[[np.sort(rng.choice(2 * n, BITS, replace=False)) for _ in range(self.bands)] for n in LENGTHS] for _ in range(REPEATS)]
         by_length: dict[int, list[int]] = defaultdict(list)
         for i, (_, item) in enumerate(items):
             least = shortest(len(item), similarity)
@@ -130,7 +131,7 @@ class Index:
                 for i in by_length[k]:
                     own = start[which == i]
                     keys.append(self.keys(np.append(items[i][1], tail), own, repeat, [k])[k])
-                for band in range(BANDS):
+                for band in range(self.bands):
                     key = np.concatenate([x[band] for x in keys])
                     order = np.argsort(key, kind="stable")
                     bits = np.zeros(1 << 20, bool)
@@ -141,7 +142,7 @@ class Index:
         """`tokens` end with `steps` more than windows may start at."""
         mixed = stir(tokens + np.uint64((repeat + 1) * 0x632BE59BD9B4E019 & (2**64 - 1)))
         wanted = defaultdict(list)
-        out = {k: [np.full(len(starts), band + 1, np.uint64) for band in range(BANDS)] for k in lengths}
+        out = {k: [np.full(len(starts), band + 1, np.uint64) for band in range(self.bands)] for k in lengths}
         for k in lengths:
             for band, places in enumerate(self.places[repeat][k]):
                 for p in places:
@@ -168,7 +169,7 @@ class Index:
             for repeat in range(REPEATS):
                 keys = self.keys(padded, starts, repeat, self.lengths)
                 for k in self.lengths:
-                    for band in range(BANDS):
+                    for band in range(self.bands):
                         table, which, start, bits = self.tables[repeat, k, band]
                         key = keys[k][band]
                         maybe = np.flatnonzero(bits[key >> np.uint64(44)])
@@ -201,11 +202,12 @@ class Index:
             return []
         numbers, here = self.numbers(tokens), np.zeros(len(self.vocabulary) + 1, bool)
         sizes = np.array([len(x) for _, x in self.items])[items]
+        most_of = [allowed(len(x), self.similarity) for _, x in self.items]
         last_word = int(ends[-1]) - 1
         docs_of = [np.searchsorted(ends, np.clip(x, 0, last_word), "right").tolist() for x in (places, places + sizes // 2, places + sizes - 1)]
         for item, place, *docs in zip(items.tolist(), places.tolist(), *docs_of, strict=True):
             words = self.items[item][1]
-            most = allowed(len(words), self.similarity)
+            most = most_of[item]
             # The window's place says where the item begins, but for the edits before it and the walk's own.
             slack = most + self.stride
             for doc in set(docs):
