@@ -4,7 +4,7 @@ A list is a log of dated entries (pattern, action `add` or `remove`, day). A pat
 (`d:example.org`, for it and all below it) or a folder (`p:example.org/docs`, for the paths below
 it). An entry holds from its day until the day of the pattern's next entry; on one day, a removal
 comes after an addition. A capture is fetched on a day; its URL is broken into every pattern that could list it,
-at most one for each label of the host and one for each of the first DEPTH folders; these meet the intervals on
+one for each label of the host and one for each folder down to the greatest depth that any listed folder has; these meet the intervals on
 equality, and the day decides. All of it is DataFrame functions: nothing leaves the JVM.
 
 No step gathers the rows of a host: a capture's patterns are its own rows, the join's other side has
@@ -23,7 +23,6 @@ from pyspark.sql import functions as F
 
 from .shared import only, read_table
 
-DEPTH = 2
 HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)"
 PATH = r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*(/[^?#]*)"
 
@@ -42,13 +41,13 @@ def with_host(captures: DataFrame) -> DataFrame:
     return captures.withColumn("host", F.nullif(host, F.lit("")))
 
 
-def patterns() -> F.Column:
-    """All patterns that could list the capture: an array."""
+def patterns(deepest: F.Column) -> F.Column:
+    """All patterns that could list the capture, with at most so many folders: an array."""
     labels = F.split("host", r"\.")
     n = F.size(labels)
     domains = F.transform(F.sequence(F.lit(1), n), lambda i: F.concat(F.lit("d:"), F.array_join(F.slice(labels, i, n - i + 1), ".")))
     folders = F.filter(F.split(F.regexp_extract("url", PATH, 1), "/"), lambda x: x != "")
-    depth = F.least(F.size(folders), F.lit(DEPTH))
+    depth = F.least(F.size(folders), deepest)
     paths = F.when(depth > 0, F.transform(F.sequence(F.lit(1), depth), lambda i: F.concat(F.lit("p:"), F.col("host"), F.lit("/"), F.array_join(F.slice(folders, 1, i), "/")))).otherwise(F.array().cast("array<string>"))
     return F.array_distinct(F.concat(domains, paths))
 
@@ -56,8 +55,9 @@ def patterns() -> F.Column:
 def judge(captures: DataFrame, entries: DataFrame) -> DataFrame:
     """From (page_id, url, fetched) and (pattern, action, day): page_id, url, fetched, host, blocked, n_patterns, pattern (the longest that blocks)."""
     rows = with_host(only(captures, page_id="long", url="string", fetched="date"))
-    asked = rows.where("host is not null and fetched is not null").distinct().withColumn("pattern", F.explode(patterns()))
     lists = validity(entries)
+    deepest = lists.where("pattern like 'p:%'").agg(F.coalesce(F.max(F.size(F.split("pattern", "/")) - 1), F.lit(0)).alias("deepest"))  # one row
+    asked = rows.where("host is not null and fetched is not null").distinct().crossJoin(F.broadcast(deepest)).withColumn("pattern", F.explode(patterns(F.col("deepest")))).drop("deepest")
     active = (F.col("fetched") >= F.col("valid_from")) & (F.col("valid_to").isNull() | (F.col("fetched") < F.col("valid_to")))
     hits = asked.join(lists, "pattern").where(active)
     best = hits.groupBy("page_id", "url", "fetched").agg(F.count("*").alias("n_patterns"), F.max_by("pattern", F.struct(F.length("pattern"), "pattern")).alias("pattern"))

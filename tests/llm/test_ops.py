@@ -401,6 +401,17 @@ def test_url_filter(spark):
     assert got == [(1, True, "d:example.org"), (2, False, None), (3, True, "p:b.org/d"), (3, True, "p:b.org/d"), (4, False, None), (5, False, None), (6, False, None), (7, True, "d:example.org")]
 
 
+def test_url_filter_of_deep_folders(spark):
+    from tambon.llm import url_filter as m
+
+    captures = spark.createDataFrame([(1, "http://b.org/a/b/c/d.html"), (2, "http://b.org/a/b/x/d.html"), (3, "http://b.org/a/b/c/d/e/f?q"), (4, "http://b.org/a/b")], "page_id long, url string").withColumn("fetched", F.to_date(F.lit("2024-01-05")))
+    lists = lambda *p: spark.createDataFrame([(x, "add", "2024-01-01") for x in p], "pattern string, action string, day string").withColumn("day", F.to_date("day"))
+    judged = lambda *p: {r.page_id: r.pattern for r in m.judge(captures, lists(*p)).collect()}
+    assert judged("p:b.org/a/b/c") == {1: "p:b.org/a/b/c", 2: None, 3: "p:b.org/a/b/c", 4: None}
+    assert judged("p:b.org/a/b/c/d/e", "p:b.org/a/b/x") == {1: None, 2: "p:b.org/a/b/x", 3: "p:b.org/a/b/c/d/e", 4: None}
+    assert not any(judged("d:c.org").values())
+
+
 def test_quotations(spark):
     from tambon.llm import quotations as m
 
