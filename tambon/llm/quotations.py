@@ -2,7 +2,7 @@
 
 A line's quote level is its number of leading `>` marks. Runs of lines of one level are passages. Passages and each
 message's own text are normalised (lower case, white space folded) and hashed, as a whole and paragraph by
-paragraph and line by line (from LEAST letters on). A quoted passage meets the messages of its conversation
+paragraph and line by line. Parts of a quoted passage of under LEAST letters count only where nothing else of it leads anywhere. A quoted passage meets the messages of its conversation
 that have the same hash; the latest one before the quoting message is its origin. The parent of a message is the origin of its
 first outermost quote; where the outermost quotes lead nowhere, deeper levels are tried, one by one. A message without a linked quote
 begins a thread of its own. Reply order is the order of paths (the turns from the thread's first message down),
@@ -59,29 +59,32 @@ def normal(text: str) -> str:
     return " ".join(text.lower().split())
 
 
-def hashes(text: str) -> list[int]:
-    """Of the whole, of paragraphs, of lines; the whole counts at any length, parts from LEAST letters on."""
+def hashes(text: str) -> dict[int, int]:
+    """Of the whole, of paragraphs, of lines; with 1 for a part of under LEAST letters, else 0."""
     parts = [text, *(p for p in re.split(r"\n\s*\n", text)), *text.split("\n")]
     clean = [normal(p) for p in parts]
-    kept = [c for i, c in enumerate(clean) if c and (not i or len(c) >= LEAST)]
-    return list(dict.fromkeys(xxhash.xxh64_intdigest(c) - (1 << 63) for c in kept))
+    found: dict[int, int] = {}
+    for i, c in enumerate(clean):
+        if c:
+            found.setdefault(xxhash.xxh64_intdigest(c) - (1 << 63), int(i > 0 and len(c) < LEAST))
+    return found
 
 
 def _parsed(messages: DataFrame) -> DataFrame:
-    """conv_id, turn, role, text (without quotes), own (hashes), quotes (level, place, hash)."""
+    """conv_id, turn, role, text (without quotes), own (hashes), quotes (level, place, short, hash)."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        quote = pa.list_(pa.struct([("level", pa.int32()), ("place", pa.int32()), ("hash", pa.int64())]))
+        quote = pa.list_(pa.struct([("level", pa.int32()), ("place", pa.int32()), ("short", pa.int32()), ("hash", pa.int64())]))
         for batch in batches:
             texts, own, quotes = [], [], []
             for text in batch.column(3).to_pylist():
                 body, quoted = passages(text) if text is not None else (None, [])
                 texts.append(body)
-                own.append(hashes(body) if body else [])
-                quotes.append([{"level": n, "place": i, "hash": h} for i, (n, q) in enumerate(quoted) for h in hashes(q)])
+                own.append(list(hashes(body)) if body else [])
+                quotes.append([{"level": n, "place": i, "short": short, "hash": h} for i, (n, q) in enumerate(quoted) for h, short in hashes(q).items()])
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(texts, pa.string()), pa.array(own, pa.list_(pa.int64())), pa.array(quotes, quote)], names=["conv_id", "turn", "role", "text", "own", "quotes"])
 
-    return messages.mapInArrow(rows, "conv_id long, turn long, role string, text string, own array<long>, quotes array<struct<level:int,place:int,hash:long>>")
+    return messages.mapInArrow(rows, "conv_id long, turn long, role string, text string, own array<long>, quotes array<struct<level:int,place:int,short:int,hash:long>>")
 
 
 def link(messages: DataFrame) -> DataFrame:
@@ -97,8 +100,8 @@ def link(messages: DataFrame) -> DataFrame:
     wanted = quoted.select("conv_id", "hash").distinct()
     owners = known.select("conv_id", F.col("turn").alias("origin"), F.explode("own").alias("hash")).join(wanted, ["conv_id", "hash"], "left_semi").distinct()
     found = quoted.join(owners, ["conv_id", "hash"]).where("origin < turn")
-    # Level first, then place, then the latest origin: one row a message.
-    best = found.groupBy("conv_id", "turn").agg(F.min_by("origin", F.struct("level", "place", -F.col("origin"))).alias("parent_turn"))
+    # Level first, then place, then what isn't short, then the latest origin: one row a message.
+    best = found.groupBy("conv_id", "turn").agg(F.min_by("origin", F.struct("level", "place", "short", -F.col("origin"))).alias("parent_turn"))
     parents = stored(best, "parents")
     # Messages that quote: path of turns from `top` (an ancestor) down to the message.
     paths = stored(parents.select("conv_id", "turn", F.col("parent_turn").alias("top"), F.array("parent_turn", "turn").alias("path")), "paths")

@@ -412,6 +412,14 @@ def test_url_filter_of_deep_folders(spark):
     assert not any(judged("d:c.org").values())
 
 
+def test_quotations_of_short_lines(spark):
+    from tambon.llm import quotations as m
+
+    rows = [(1, 0, "user", "Yes.\nCall me tomorrow after noon.\nNo."), (1, 1, "bot", "> Yes.\nFine"), (2, 0, "user", "Yes.\nThat is all that I know."), (2, 1, "user", "Maybe\nYes."), (2, 2, "bot", "> Yes.\n> That is all that I know.\nI see"), (1, 2, "bot", "> Yes.\n> No.\nBoth?")]
+    got = {(r.conv_id, r.turn): r.parent_turn for r in m.link(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    assert got == {(1, 0): None, (1, 1): 0, (1, 2): 0, (2, 0): None, (2, 1): None, (2, 2): 0}
+
+
 def test_quotations(spark):
     from tambon.llm import quotations as m
 
