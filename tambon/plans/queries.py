@@ -339,7 +339,7 @@ def contrast_directions(spark, sf_dir):
 @query()
 def pairwise_directions(spark, sf_dir):
     rows, places = _training(spark, sf_dir)
-    return _directions(spark, fit_pairwise(rows, places, Resources("p", 2048, by_label={"NAME": 1.0}), epochs=2))
+    return _directions(spark, fit_pairwise(rows, places, Resources("p", 2048, by_label={"NAME": 1.0}), epochs=4))  # as the reference's build
 
 
 # Structured suffixes

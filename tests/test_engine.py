@@ -102,3 +102,14 @@ def test_llm_is_optional(monkeypatch):
 
     monkeypatch.setattr(entry, "_llm", lambda: None)
     assert "parse_messages" in entry.queries() and not any(n.startswith("op") for n in entry.queries())
+
+
+def test_pairwise_query_has_the_epochs_of_the_build(spark, monkeypatch):
+    from tambon.plans import queries as m
+
+    asked = {}
+    monkeypatch.setattr(m, "_training", lambda *x: (None, []))
+    monkeypatch.setattr(m, "_directions", lambda spark, found: found)
+    monkeypatch.setattr(m, "fit_pairwise", lambda *x, **options: asked.update(options) or {})
+    m.pairwise_directions(spark, "")
+    assert asked["epochs"] == 4
