@@ -55,19 +55,36 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """Writes a table to the shared folder and reads it again: lineage ends here, and a lost executor costs nothing."""
-    path = scratch_path(df.sparkSession, name)
+    """Writes a table to the shared folder and reads it again: lineage ends here, and a lost executor costs nothing.
+
+    What was shuffled for it is of no more use. Spark deletes shuffle files once the driver's JVM has collected the plan, which
+    a driver with little to do puts off for long, so it is told to.
+    """
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark.sparkContext._jvm.System.gc()
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def dropped(df: DataFrame) -> None:
+    """Deletes a stored table that nothing reads any more."""
+    for path, spark in list(_made.items()):
+        if any(path.split(":", 1)[-1].lstrip("/") in file for file in df.inputFiles()[:1]):
+            _delete(path, spark)
+            del _made[path]
+
+
+def _delete(path: str, spark: SparkSession) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
 @atexit.register
 def _clean() -> None:
     for path, spark in _made.items():
         try:
-            jvm = spark.sparkContext._jvm
-            where = jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+            _delete(path, spark)
         except Exception:  # noqa: BLE001  the session has ended: the shared folder's owner clears it
             return
 

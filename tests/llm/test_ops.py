@@ -437,3 +437,19 @@ def test_pipeline_stages_keep_the_columns():
     import corpus_pipeline
 
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "quality_classifier", "minhash_near_dedup", "benchmark_decontamination", "best_fit_packing"]
+
+
+def test_quality_of_counted_documents_is_that_without_them(spark):
+    """A document that the model has counted scores nearly as under a model that hasn't."""
+    from tambon.llm import quality_lm as m
+
+    r = random.Random(21)
+    words = [f"w{k}" for k in range(400)]
+    texts = [" ".join(words[min(399, int(r.paretovariate(0.5)))] for _ in range(80)) + f" own{k} words{k}" for k in range(120)]
+    rows = [(k, t, "en") for k, t in enumerate(texts)]
+    model, counts = m.train(docs(spark, rows), head=200)
+    score = lambda model, counts, counted: {x.doc_id: x.log_perplexity for x in m.perplexity(docs(spark, rows[:5]).withColumns({"trusted": F.lit(True), "counted": F.lit(counted)}), model, counts).collect()}
+    known, left_out = score(model, counts, False), score(model, counts, True)
+    for k in (0, 3):
+        without = score(*m.train(docs(spark, rows).where(F.col("doc_id") != k), head=200), False)[k]
+        assert known[k] < left_out[k] and abs(left_out[k] - without) < 0.15 * (without - known[k]) + 0.05
