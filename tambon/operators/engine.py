@@ -55,7 +55,15 @@ class AddressEngine:
                 found = pa.RecordBatch.from_pylist([parse(x or "") for x in batch.column(at).to_pylist()], schema=arrow)
                 yield pa.RecordBatch.from_arrays([*batch.columns, *found.columns], names=schema.names)
 
-        return messages.mapInArrow(run, schema)
+        return self._spread(messages).mapInArrow(run, schema)
+
+    @staticmethod
+    def _spread(messages: DataFrame) -> DataFrame:
+        """Parsing costs far more than moving a message, so a frame in fewer partitions than there are cores is dealt out; a larger one stays where it is."""
+        if messages.isStreaming:
+            return messages
+        cores = messages.sparkSession.sparkContext.defaultParallelism
+        return messages if messages.rdd.getNumPartitions() >= cores else messages.repartition(2 * cores)
 
 
 def to_utf16(raw: F.Column, at: F.Column) -> F.Column:

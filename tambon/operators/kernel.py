@@ -14,6 +14,7 @@ import re
 from bisect import bisect_left
 from collections import defaultdict
 from dataclasses import dataclass, field
+from operator import itemgetter
 
 from ..functions import thai_text as t
 
@@ -75,6 +76,14 @@ def touches(a, b) -> bool:
     return a[0] < b[1] and b[0] < a[1]
 
 
+def taken(ranges) -> int:
+    """The positions of some ranges as bits."""
+    bits = 0
+    for start, end in ranges:
+        bits |= (1 << end) - (1 << start)
+    return bits
+
+
 def trimmed(raw: str, start: int, end: int):
     while start < end and _space.match(raw[start]):
         start += 1
@@ -134,7 +143,7 @@ class Gazetteer:
             if label != "POSTCODE":
                 self.fuzzy[label].append((surface, (name, i)))
                 self.fuzzy_in[label, locations[i]["province"]].append((surface, (name, i)))
-        self.starts = {k: sorted(v) for k, v in starts.items()}
+        self.starts = {k: tuple(sorted(v)) for k, v in starts.items()}
         self.provinces = {s for label, s, *_ in self.terms if label == "PROVINCE"}
         self.by_surface = defaultdict(list)
         for n, term in enumerate(self.terms):
@@ -143,13 +152,13 @@ class Gazetteer:
     def occurrences(self, raw: str) -> dict[str, list[int]]:
         """Where each surface stands, without overlaps with itself."""
         found: dict[str, list[int]] = {}
-        for i in range(len(raw)):
-            for key in (raw[i : i + 2], raw[i]):
-                for surface in self.starts.get(key, ()) if len(key) == 2 or i + 1 >= len(raw) else ():
-                    if raw.startswith(surface, i):
-                        places = found.setdefault(surface, [])
-                        if not places or i >= places[-1] + len(surface):
-                            places.append(i)
+        get = self.starts.get
+        for i, first in enumerate(raw):
+            for surface in (*get(first, ()), *get(raw[i : i + 2], ())) if i + 1 < len(raw) else get(first, ()):
+                if raw.startswith(surface, i):
+                    places = found.setdefault(surface, [])
+                    if not places or i >= places[-1] + len(surface):
+                        places.append(i)
         return found
 
     def resolve(self, v: dict) -> list[int]:
@@ -314,7 +323,9 @@ class Parser:
             edges.update(x for r in group for x in r)
         edges.update(r[0] for r in (*scan.hints, *scan.titles))
         edges = sorted(edges)
-        shielded = [*scan.phones, *scan.postcodes, *scan.to, *scan.tel, *scan.at, *scan.breaks]
+        shielded = taken((*scan.phones, *scan.postcodes, *scan.to, *scan.tel, *scan.at, *scan.breaks))
+        barred = taken((*anchors, *scan.excluded))
+        seen: dict[tuple, tuple] = {}
         for i, start in enumerate(edges):
             for end in edges[i + 1 :]:
                 if end - start > WIDEST:
@@ -327,10 +338,12 @@ class Parser:
                     span = trimmed(raw, span[0], cut)
                 if not span or span[1] - span[0] < 2:
                     continue
-                name_ok = not any(touches(a, span) for a in anchors) and not any(touches(x, span) for x in scan.excluded)
-                address_ok = not any(touches(x, span) for x in shielded)
+                here = (1 << span[1]) - (1 << span[0])
+                name_ok, address_ok = not barred & here, not shielded & here
                 if name_ok or address_ok:
-                    name, address = segment_evidence(scan, span)
+                    if span not in seen:  # several pairs of edges trim to one span
+                        seen[span] = segment_evidence(scan, span)
+                    name, address = seen[span]
                     if name_ok:
                         add("NAME", span, name[0], "segment", name[1])
                     if address_ok:
@@ -346,28 +359,45 @@ class Parser:
             s.latent, s.score = (0.5, s.evidence) if self.scorer is None else self.scorer(scan, s)
 
     def decode(self, seeds: list[Seed]):
-        beam, hypotheses = [((), 0.0, None)], 0  # chosen, score, common locations
+        # A state: what it is sorted by, the chosen, their score, common locations, positions taken, starts by label, bonus of each wanted order.
+        beam, hypotheses = [(0.0, (), 0.0, None, 0, {}, _no_order)], 0
+        shared: dict[tuple, dict] = {}
         for label in ORDER:
             choices = sorted((s for s in seeds if s.label == label and s.score >= LEAST_SCORE), key=lambda s: (-s.score, s.start - s.end, s.start))[: self.options.candidates_per_label]
-            grown = []
-            for chosen, score, ids in beam:
-                hypotheses += 1 + len(choices)
-                grown.append((chosen, score, ids))
-                for s in choices:
-                    if any(c.start < s.end and s.start < c.end for c in chosen):
+            hypotheses += len(beam) * (1 + len(choices))
+            if not choices:
+                continue
+            located, grown = label in COLUMN, []
+            ready = [(s, (1 << s.end) - (1 << s.start), s.score - 0.5, s.start) for s in choices]
+            for state in beam:
+                _, chosen, score, ids, positions, starts, orders = state
+                grown.append(state)
+                for s, mask, gain, start in ready:
+                    if positions & mask:
                         continue
-                    gain, now = s.score - 0.5, ids
-                    if label in COLUMN:
-                        if s.ids:
-                            now = s.ids if ids is None else {k: None for k in ids if k in s.ids}
-                            if ids is not None:
-                                gain += 0.22 if now else -0.9
-                        elif ids is not None and label == "POSTCODE":
-                            gain -= 0.9
-                    grown.append(((*chosen, s), score + gain, now))
-            beam = sorted(grown, key=lambda b: -(b[1] + in_order(b[0])))[: self.options.beam_width]
-        chosen, score, _ = beam[0]
-        return sorted(chosen, key=lambda s: s.start), score + in_order(chosen), hypotheses
+                    now = ids
+                    if located:
+                        if not s.ids:
+                            if ids is not None and label == "POSTCODE":
+                                gain = gain - 0.9
+                        elif ids is None:
+                            now = s.ids
+                        else:
+                            pair = id(ids), id(s)
+                            now = shared.get(pair)
+                            if now is None:
+                                now = shared[pair] = {k: None for k in ids if k in s.ids}
+                            gain = gain + (0.22 if now else -0.9)
+                    order = orders
+                    for k, other, first, weight in _orders_of[label]:
+                        if other in starts:
+                            kept = (start <= starts[other]) if first else (starts[other] <= start)
+                            order = (*order[:k], weight if kept else -weight, *order[k + 1 :])
+                    total = score + gain
+                    grown.append((-(total + sum(order)), (*chosen, s), total, now, positions | mask, {**starts, label: start}, order))
+            beam = sorted(grown, key=_rank)[: self.options.beam_width]
+        best, chosen, *_ = beam[0]
+        return sorted(chosen, key=lambda s: s.start), -best, hypotheses
 
     # Validation
 
@@ -413,11 +443,10 @@ class Parser:
 
 
 _wanted_order = (("NAME", "ADDRESS_DETAIL", 0.04), ("SUBDISTRICT", "DISTRICT", 0.06), ("DISTRICT", "PROVINCE", 0.06), ("PROVINCE", "POSTCODE", 0.03))
-
-
-def in_order(chosen) -> float:
-    at = {s.label: s.start for s in chosen}
-    return sum((w if at[a] <= at[b] else -w) for a, b, w in _wanted_order if a in at and b in at)
+#: For each label: number of the wanted order, the other label, whether this one comes first, weight.
+_orders_of = {label: [(k, b if label == a else a, label == a, w) for k, (a, b, w) in enumerate(_wanted_order) if label in (a, b)] for label in ORDER}
+_no_order = (0.0,) * len(_wanted_order)
+_rank = itemgetter(0)
 
 
 def segment_evidence(scan: Scan, span):
