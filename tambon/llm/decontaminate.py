@@ -16,7 +16,8 @@ Items are broadcast in blocks of at most ITEMS items and WORDS words; a larger b
 
 Defined cases: null or empty texts contain nothing; an item that is null or has no word matches
 nothing; items too short for windows of 4 words are looked up at stride 1, and below 4 words only
-exactly; equal items are all reported; a row per row of documents and item, at the best place;
+exactly, by a look-up of all runs of so many words; equal items are looked up once and all reported; a row per row of documents and item, at the best place, the
+first of equally good ones found; repeated rows give rows each; a very long text is scanned in whole; an empty table of either kind gives no rows;
 extra columns are ignored.
 """
 
@@ -40,7 +41,7 @@ STRIDE = 8
 REPEATS, BANDS, BITS = 4, 6, 4
 LENGTHS = (4, 6, 8, 12, 16, 32)
 ITEMS, WORDS = 20_000, 2_000_000
-CACHE_CHUNKS = 200_000
+CACHE_CHUNKS = 100_000
 _not_word = re.compile(r"[\W_]+")
 _prime = np.uint64(0x9E3779B97F4A7C15)
 
@@ -100,6 +101,56 @@ def walk(hashes: np.ndarray, starts: np.ndarray, steps: int, visit) -> None:
         at += bit.view(np.int64)
 
 
+def first_look(keys: np.ndarray) -> tuple[np.uint64, np.ndarray]:
+    """Marks by the upper bits of some keys, about 32 marks a key: small enough for a core's cache."""
+    n = max(12, min(24, int(32 * max(1, len(keys))).bit_length()))
+    marks = np.zeros(1 << n, bool)
+    marks[keys >> np.uint64(64 - n)] = True
+    return np.uint64(64 - n), marks
+
+
+def looked_up(look: tuple[np.uint64, np.ndarray], keys: np.ndarray) -> np.ndarray:
+    """The places of keys that may be there."""
+    return np.flatnonzero(look[1][keys >> look[0]])
+
+
+class Runs:
+    """Items of fewer words than the shortest window: found as they are."""
+
+    def __init__(self, items: list[tuple[int, np.ndarray]]):
+        self.items, self.tables = items, {}
+        for n in sorted({len(x) for _, x in items}):
+            which = np.array([i for i, (_, x) in enumerate(items) if len(x) == n])
+            keys = self.keys(np.concatenate([items[i][1] for i in which]), n)[::n]
+            order = np.argsort(keys, kind="stable")
+            self.tables[n] = keys[order], which[order], first_look(keys)
+
+    @staticmethod
+    def keys(tokens: np.ndarray, n: int) -> np.ndarray:
+        out = np.zeros(max(0, len(tokens) - n + 1), np.uint64)
+        for i in range(n):
+            out = stir(out * _prime + tokens[i : len(tokens) - n + 1 + i])
+        return out
+
+    def matches(self, texts: list[np.ndarray]) -> list[tuple[int, int, int, int, int]]:
+        """As Index.matches, at distance 0 and the first place."""
+        ends = np.cumsum([len(t) for t in texts])
+        tokens, found = (np.concatenate(texts) if texts else np.zeros(0, np.uint64)), []
+        for n, (table, which, look) in self.tables.items():
+            keys = self.keys(tokens, n)
+            at = looked_up(look, keys)
+            left, right = (np.searchsorted(table, keys[at], side) for side in ("left", "right"))
+            at, left, right = at[left < right], left[left < right], right[left < right]
+            doc = np.searchsorted(ends, at, "right")
+            inside = at + n <= ends[doc] if len(at) else np.zeros(0, bool)
+            at, left, right, doc = at[inside], left[inside], right[inside], doc[inside]
+            _, first = np.unique(doc * len(table) + left, return_index=True)
+            for k in first.tolist():
+                lo = int(at[k] - (ends[doc[k] - 1] if doc[k] else 0))
+                found += [(int(doc[k]), int(which[x]), 0, lo, lo + n) for x in range(left[k], right[k])]
+        return sorted(found)
+
+
 class Index:
     """The samples of a block of items."""
 
@@ -120,8 +171,7 @@ class Index:
         # The items' words as numbers, and a first look at words of texts by their upper bits.
         self.vocabulary = np.unique(np.concatenate([x for _, x in items]))
         self.numbered = [np.searchsorted(self.vocabulary, x) for _, x in items]
-        self.known = np.zeros(1 << 20, bool)
-        self.known[self.vocabulary >> np.uint64(44)] = True
+        self.known = first_look(self.vocabulary)
         self.tables = {}
         for k in self.lengths:
             which = np.concatenate([np.full(max(1, len(items[i][1]) - LENGTHS[k] + 1), i) for i in by_length[k]])
@@ -134,9 +184,7 @@ class Index:
                 for band in range(self.bands):
                     key = np.concatenate([x[band] for x in keys])
                     order = np.argsort(key, kind="stable")
-                    bits = np.zeros(1 << 20, bool)
-                    bits[key >> np.uint64(44)] = True
-                    self.tables[repeat, k, band] = key[order], which[order], start[order], bits
+                    self.tables[repeat, k, band] = key[order], which[order], start[order], first_look(key)
 
     def keys(self, tokens: np.ndarray, starts: np.ndarray, repeat: int, lengths: list[int]) -> dict[int, list[np.ndarray]]:
         """`tokens` end with `steps` more than windows may start at."""
@@ -170,9 +218,9 @@ class Index:
                 keys = self.keys(padded, starts, repeat, self.lengths)
                 for k in self.lengths:
                     for band in range(self.bands):
-                        table, which, start, bits = self.tables[repeat, k, band]
+                        table, which, start, look = self.tables[repeat, k, band]
                         key = keys[k][band]
-                        maybe = np.flatnonzero(bits[key >> np.uint64(44)])
+                        maybe = looked_up(look, key)
                         if len(maybe):
                             left, right = np.searchsorted(table, key[maybe], "left"), np.searchsorted(table, key[maybe], "right")
                             times = right - left
@@ -185,7 +233,7 @@ class Index:
     def numbers(self, tokens: np.ndarray) -> np.ndarray:
         """The tokens as numbers of the items' words; other words get a number of their own."""
         out = np.full(len(tokens), len(self.vocabulary))
-        maybe = np.flatnonzero(self.known[tokens >> np.uint64(44)])
+        maybe = looked_up(self.known, tokens)
         at = np.minimum(np.searchsorted(self.vocabulary, tokens[maybe]), len(self.vocabulary) - 1)
         right = self.vocabulary[at] == tokens[maybe]
         out[maybe[right]] = at[right]
@@ -234,35 +282,40 @@ def find(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY)
     """doc_id, text_hash, item_id, distance, start_word, end_word for each document and item found in it."""
     docs = only(docs, doc_id="long", text="string")
     spark = docs.sparkSession
-    items = only(benchmark, item_id="long", text="string").where("text is not null").orderBy("item_id", "text")
-    kind = "doc_id long, text_hash long, item_id long, distance int, start_word long, end_word long"
+    items = only(benchmark, item_id="long", text="string").where("text is not null").withColumn("item", F.xxhash64("text"))
+    kind = "doc_id long, text_hash long, item long, distance int, start_word long, end_word long"
 
-    def scan(index) -> DataFrame:
+    def scan(indexes) -> DataFrame:
         def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for lo in range(0, batch.num_rows, 256):
                     part = batch.slice(lo, 256)
-                    got = index.value.matches([words(t) for t in part.column(2).to_pylist()])
+                    texts = [words(t) for t in part.column(2).to_pylist()]
+                    got = [(g[0], index.items[g[1]][0], *g[2:]) for index in indexes.value for g in index.matches(texts)]
                     if got:
-                        at = pa.array([g[0] for g in got])
-                        names = [index.value.items[g[1]][0] for g in got]
-                        yield pa.RecordBatch.from_arrays([part.column(0).take(at), part.column(1).take(at), pa.array(names, pa.int64()), pa.array([g[2] for g in got], pa.int32()), pa.array([g[3] for g in got], pa.int64()), pa.array([g[4] for g in got], pa.int64())], names=["doc_id", "text_hash", "item_id", "distance", "start_word", "end_word"])
+                        at, item, distance, first, end = zip(*got, strict=True)
+                        ids = [c.take(pa.array(at)) for c in part.columns[:2]]
+                        yield pa.RecordBatch.from_arrays([*ids, pa.array(item, pa.int64()), pa.array(distance, pa.int32()), pa.array(first, pa.int64()), pa.array(end, pa.int64())], names=["doc_id", "text_hash", "item", "distance", "start_word", "end_word"])
 
         return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").where("text is not null").mapInArrow(rows, kind)
 
     found, block, size = [], [], 0
 
     def close() -> None:
-        fits = lambda item: shortest(len(item), similarity) >= STRIDE + LENGTHS[0] - 1
-        for stride, group in ((STRIDE, [x for x in block if fits(x[1])]), (1, [x for x in block if not fits(x[1])])):
+        least = lambda item: shortest(len(item), similarity)
+        short = [x for x in block if len(x[1]) < LENGTHS[0]]
+        indexes: list = [Runs(short)] if short else []
+        for stride, group in ((STRIDE, [x for x in block if least(x[1]) >= STRIDE + LENGTHS[0] - 1]), (1, [x for x in block if len(x[1]) >= LENGTHS[0] and least(x[1]) < STRIDE + LENGTHS[0] - 1])):
             if group:
-                found.append(scan(spark.sparkContext.broadcast(Index(group, stride, similarity))))
+                indexes.append(Index(group, stride, similarity))
+        if indexes:
+            found.append(scan(spark.sparkContext.broadcast(indexes)))
         block.clear()
 
-    for row in items.toLocalIterator():  # a block at a time on the driver
+    for row in items.select("item", "text").distinct().orderBy("item", "text").toLocalIterator():  # a block at a time on the driver
         item = words(row.text)
         if len(item):
-            block.append((row.item_id, item))
+            block.append((row.item, item))
             size += len(item)
             if len(block) >= ITEMS or size >= WORDS:
                 close()
@@ -271,7 +324,7 @@ def find(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY)
     out = spark.createDataFrame([], kind)
     for part in found:
         out = out.unionByName(part)
-    return out
+    return out.join(items.select("item", "item_id"), "item").select("doc_id", "text_hash", "item_id", "distance", "start_word", "end_word")
 
 
 def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -34,7 +34,7 @@ MAX_LANGS = 256
 MAX_WORDS = 50_000
 MAX_GRAMS = 50_000
 LONGEST_GRAM = 4
-CACHE_CHUNKS = 150_000
+CACHE_CHUNKS = 100_000
 UNKNOWN = "und"
 _letters = re.compile(r"[^\W\d_]+").findall
 
@@ -46,7 +46,7 @@ class Model:
         self.langs = langs
         self.words = {w: i for i, w in enumerate(words)}
         self.grams = {g: i + len(words) for i, g in enumerate(grams)}
-        self.matrix = np.array([*words.values(), *grams.values(), np.zeros(len(langs))]).reshape(len(words) + len(grams) + 1, len(langs))
+        self.matrix = np.array([*words.values(), *grams.values(), np.zeros(len(langs))], dtype=np.float32).reshape(len(words) + len(grams) + 1, len(langs))
 
     def rows(self, word: str) -> list[int]:
         """The rows whose mean is the word's score: its own, or those of its longest known n-grams."""
@@ -70,7 +70,7 @@ class Scorer:
 
     def clear(self) -> None:
         self.known: dict[str, int] = {}
-        self.table = np.zeros((0, len(self.model.langs) + 1))
+        self.table = np.zeros((4096, len(self.model.langs) + 1), np.float32)
 
     def learn(self, chunks: list[str]) -> None:
         rows, sizes, words = [], [], []
@@ -81,14 +81,17 @@ class Scorer:
                 mine = self.model.rows(w)
                 rows += mine
                 sizes.append(len(mine))
-        new = np.zeros((len(chunks), len(self.model.langs) + 1))
+        new = np.zeros((len(chunks), len(self.model.langs) + 1), np.float32)
         new[:, 0] = words
         if rows:
             sizes = np.array(sizes)
             means = np.add.reduceat(self.model.matrix[rows], np.cumsum(sizes) - sizes, axis=0) / sizes[:, None]
             np.add.at(new[:, 1:], np.repeat(np.arange(len(chunks)), words), means)
-        self.known.update(zip(chunks, range(len(self.known), len(self.known) + len(chunks)), strict=True))
-        self.table = np.concatenate([self.table, new])
+        first = len(self.known)
+        self.known.update(zip(chunks, range(first, first + len(chunks)), strict=True))
+        if len(self.known) > len(self.table):
+            self.table = np.concatenate([self.table, np.zeros((max(len(self.table), len(chunks)), self.table.shape[1]), np.float32)])
+        self.table[first : first + len(chunks)] = new
 
     def __call__(self, texts: list[str | None]) -> list[tuple[str, float]]:
         if not self.model.langs:
@@ -103,7 +106,7 @@ class Scorer:
             if new:
                 self.learn(list(new))
             for chunks in split:
-                total = self.table[[known[c] for c in chunks]].sum(axis=0)
+                total = self.table[[known[c] for c in chunks]].sum(axis=0, dtype=np.float64)
                 if not chunks or not total[0]:
                     out.append((UNKNOWN, 0.0))
                     continue
@@ -125,7 +128,7 @@ def _counted(batches: Iterator[pa.RecordBatch], of) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             of(found, *row)
-            if len(found) > 300_000:
+            if len(found) > 200_000:
                 yield flush()
                 found.clear()
     if found:
@@ -144,7 +147,7 @@ def fit(docs: DataFrame, per_lang: int = SAMPLE_PER_LANG) -> Model:
 
     def words(found: Counter, lang: str, text: str) -> None:
         for w in _letters(text.lower()):
-            found[lang, w[:40]] += 1
+            found[lang, w] += 1
 
     def grams(found: Counter, lang: str, word: str, n: int) -> None:
         padded = f" {word} "

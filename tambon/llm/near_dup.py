@@ -8,22 +8,26 @@ may be wrong, and every pair within that distance meets under some key: the join
 CHUNKS follows from the similarity, so that a pair just at the threshold is within the distance but for MISS.
 
 Documents with equal sets are one class before anything else. Buckets (the classes under one key) are
-never expanded into pairs:
+never expanded into pairs, and candidates are never closed over: only verified links join components.
 
 1. each class is compared with the least head of its buckets (a head is the least class of a
-   bucket): sizes, then signatures, then full sets. Links give components, by minimum labels with pointer jumping.
-2. classes that met in some bucket, directly or through others, form a cluster. Most clusters
-   are one component by now. In the others, each pair in different components is still to be
-   compared: cluster members are dealt to blocks of BLOCK rows, a task takes two blocks and
-   compares signatures as arrays; where some are within the distance, a second pass brings the texts of
-   those classes alone to the same blocks, checks full sets there, and returns links, not candidates.
-
-So each pair that meets in a bucket is in one component or was compared. The second comparison uses
-WIDE slots of 8 bits, whose distance bound loses a pair at the threshold with probability below MISS.
+   bucket): sizes, then signatures, then full sets. A class has one such link at most, to a lesser class, so components are trees
+   and pointer jumping finds their roots.
+2. buckets with the same head are one group from here on: all of it met the head, and a class heads at most CHUNKS * SLOTS
+   buckets. Most groups are one component by now. The members of the others are still to be compared
+   across components: they are dealt to blocks, a task takes two blocks of a group, compares signatures as arrays and returns
+   a forest, the closest pairs that would join all that is close. Those are verified, and components joined.
+3. what is still close across components within a group, as its own closest pairs failed, is compared by full sets in the same blocks,
+   where a task returns links, not candidates.
+
+So each pair that meets in a bucket is in one component or was compared. The comparison of signatures uses
+WIDE slots of 8 bits, whose distance bound loses a pair at the threshold with probability below MISS. A hot group is many blocks of at most
+about BLOCK classes and BLOCK_WORDS shingles, never one group.
 
 Defined cases: a null text or one without words has an empty set, no link, and is its own component;
-with fewer than k words the whole sequence is the one shingle; a null doc_id takes part and is never a
-component's id unless alone (then null, and `kept` is true); repeated doc_ids are separate rows; extra columns are ignored.
+with fewer than k words the whole sequence is the one shingle; a very long text is one set as any other, in a block of its own;
+a null doc_id takes part and is never a component's id unless alone (then null, and `kept` is true); repeated doc_ids are separate rows;
+ties don't arise, as a component goes by its least doc_id; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -37,12 +41,14 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import only, read_table, stored, worker_cache
+from .shared import give_back, only, read_table, stored, worker_cache
 
 SLOTS, MISS = 5, 1e-5
 WIDE, SIGMAS = 256, 4.75
-BLOCK = 512
-CACHE_WORDS = 200_000
+BLOCK, BLOCK_WORDS = 512, 1_000_000
+SALTS = 32
+REAL_IDS = 1 << 62  # doc_ids from here on are not used as class numbers
+CACHE_WORDS = 100_000
 _mix = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -127,6 +133,7 @@ def _file(docs: DataFrame, k: int, slots: int) -> DataFrame:
                 short = [None if m is None else m[:slots].tobytes() for m in marks]
                 wide = [None if m is None else m.astype(np.uint8).tobytes() for m in marks]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(list(map(len, sets)), pa.int64()), *[pa.array(x, pa.binary()) for x in (names, short, wide)]], names=["doc_id", "text_hash", "n_shingles", "set_id", "signature", "wide"])
+        give_back()
 
     return docs.select("doc_id", "text", F.coalesce(F.xxhash64("text"), F.lit(0)).alias("text_hash")).mapInArrow(rows, "doc_id long, text_hash long, n_shingles long, set_id binary, signature binary, wide binary")
 
@@ -167,80 +174,143 @@ def _close(pairs: DataFrame, marks: DataFrame, similarity: float) -> DataFrame:
     return joined.select("a", "b", "wa", "wb").mapInArrow(near, "a long, b long")
 
 
+def trees(parents: DataFrame) -> DataFrame:
+    """(v, c) from (a, b), a < b, each b once: c is the root above v. Pointer jumping until no root moves."""
+    labels = stored(parents.select(F.col("b").alias("v"), F.col("a").alias("c")), "labels")
+    while True:
+        above = labels.select(F.col("v").alias("c"), F.col("c").alias("higher"))
+        step = stored(labels.join(above, "c", "left").select("v", F.coalesce("higher", "c").alias("c"), F.col("higher").isNotNull().alias("moved")), "labels")
+        labels = step.select("v", "c")
+        if step.where("moved").isEmpty():
+            return labels
+
+
 def _deal(members: DataFrame) -> DataFrame:
-    """Rows of a cluster dealt to blocks of about BLOCK, each pair of blocks (i, j) a group with both."""
-    sizes = members.groupBy("cluster").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    mine = members.join(sizes, "cluster").withColumn("mine", F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int"))
+    """Members (head, c, sid, n, tried, ...) of groups with several components, dealt to blocks, each pair of blocks (i, j) of a group with both.
+
+    A hot group meets its size in SALTS parts.
+    """
+    salted = members.withColumn("salt", F.pmod(F.xxhash64("sid"), F.lit(SALTS)).cast("int"))
+    per = salted.groupBy("head", "salt").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.count("*").alias("rows"), F.sum("n").alias("words"), F.count_if("tried").alias("tried"))
+    whole = per.groupBy("head").agg(F.min("c0").alias("c0"), F.max("c1").alias("c1"), *[F.sum(x).alias(x) for x in ("rows", "words", "tried")])
+    # The head itself is not `tried`: with one other that is, nothing is left to compare.
+    whole = whole.where("c0 < c1").where("rows > 2 or tried = 0")
+    blocks = whole.select("head", F.greatest(F.ceil(F.col("rows") / BLOCK), F.ceil(F.col("words") / BLOCK_WORDS)).cast("int").alias("blocks"))
+    sizes = per.select("head", "salt").join(blocks, "head")
+    mine = salted.join(sizes, ["head", "salt"]).withColumn("mine", F.pmod(F.xxhash64("sid", F.lit(2)), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    return mine.select("*", other).withColumns({"i": F.least("mine", "other"), "j": F.greatest("mine", "other")}).drop("other", "blocks")
+    return mine.select("*", other).withColumns({"i": F.least("mine", "other"), "j": F.greatest("mine", "other")}).drop("other", "blocks", "salt")
 
 
-def _pairs(table: pa.Table, similarity: float):
-    """For each row of the first block, the rows of the second in other components that are close by size and signature."""
-    most = most_apart(similarity)
-    side = table.column("mine").to_numpy()
-    i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
-    wide = np.frombuffer(b"".join(table.column("wide").to_pylist()), np.uint8).reshape(-1, WIDE)
-    c, sid, n = (table.column(x).to_numpy() for x in ("c", "sid", "n"))
+def _by_group(dealt: DataFrame, of, schema: str) -> DataFrame:
+    """`of` yields what each group gives: it gets the columns as arrays, the wide signatures as a matrix, the texts if there are any. Groups are runs of sorted rows, many to a batch."""
+    with_texts = "text" in dealt.columns
+    names = ["head", "i", "j", "mine", "c", "sid", "n", "tried"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+
+        def groups(table: pa.Table, last: bool):
+            nonlocal held
+            at = {x: table.column(x).to_numpy() for x in names}
+            new = np.flatnonzero((np.diff(at["head"]) != 0) | (np.diff(at["i"]) != 0) | (np.diff(at["j"]) != 0)) + 1
+            ends = [0, *new.tolist(), *[table.num_rows] * last]
+            wide = np.frombuffer(b"".join(table.column("wide").slice(0, ends[-1]).to_pylist()), np.uint8).reshape(-1, WIDE)
+            for lo, hi in zip(ends[:-1], ends[1:], strict=True):
+                texts = table.column("text").slice(lo, hi - lo) if with_texts else None
+                yield {x: v[lo:hi] for x, v in at.items()}, wide[lo:hi], texts
+            held = None if last else table.slice(ends[-1])
+
+        for batch in batches:
+            if batch.num_rows:
+                now = pa.Table.from_batches([batch])
+                found = [x for group in groups(now if held is None else pa.concat_tables([held, now]), False) for x in of(*group)]
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found, strict=True)], names=out)
+        if held is not None:
+            found = [x for group in groups(held, True) for x in of(*group)]
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found, strict=True)], names=out)
+
+    out = [x.split()[0] for x in schema.split(", ")]
+    columns = [*names, "wide", *["text"] * with_texts]
+    return dealt.select(*columns).repartition("head", "i", "j").sortWithinPartitions("head", "i", "j").mapInArrow(run, schema)
+
+
+def _close_rows(at: dict[str, np.ndarray], wide: np.ndarray, similarity: float, label: np.ndarray):
+    """For each row of the first block, the rows of the second in other components (by `label` as it is then) that are close by size and signature, and their distances. The head has been compared with those marked as tried."""
+    most, i, j = most_apart(similarity), at["i"][0], at["j"][0]
+    side, sid, n, tried, head = at["mine"], at["sid"], at["n"], at["tried"], at["head"][0]
     left, right = np.flatnonzero(side == i), np.flatnonzero(side == j)
     for x in left:
-        may = (c[right] != c[x]) & (np.minimum(n[right], n[x]) >= similarity * np.maximum(n[right], n[x]))
+        may = (label[right] != label[x]) & (np.minimum(n[right], n[x]) >= similarity * np.maximum(n[right], n[x]))
         if i == j:
             may &= sid[right] > sid[x]
-        at = right[may]
-        if len(at):
-            at = at[(wide[at] != wide[x]).sum(axis=1) <= most]
-            if len(at):
-                yield x, at
+        if sid[x] == head:
+            may &= ~tried[right]
+        elif tried[x]:
+            may &= sid[right] != head
+        near = right[may]
+        if len(near):
+            apart = (wide[near] != wide[x]).sum(axis=1)
+            if (apart <= most).any():
+                yield x, near[apart <= most], apart[apart <= most]
+
 
+def _forest(dealt: DataFrame, similarity: float) -> DataFrame:
+    """(a, b, ca, cb): close pairs, and their components, that would join all that is close within each group."""
 
-def _involved(members: DataFrame, similarity: float) -> DataFrame:
-    """The sids of `members` (cluster, c, sid, n, wide) that have anyone to be compared with."""
+    def of(at, wide, _):
+        label = at["c"].copy()
+        for x, near, apart in _close_rows(at, wide, similarity, label):
+            for y in near[np.argsort(apart, kind="stable")].tolist():
+                if label[y] != label[x]:
+                    label[label == label[y]] = label[x]
+                    yield min(at["sid"][x], at["sid"][y]), max(at["sid"][x], at["sid"][y]), at["c"][x], at["c"][y]
 
-    def compare(table: pa.Table) -> pa.Table:
-        hit = np.zeros(table.num_rows, bool)
-        for x, at in _pairs(table, similarity):
-            hit[x] = hit[at] = True
-        return pa.table({"sid": table.column("sid").combine_chunks().filter(pa.array(hit))})
+    return _by_group(dealt, of, "a long, b long, ca long, cb long")
 
-    return _deal(members).groupBy("cluster", "i", "j").applyInArrow(compare, "sid long").distinct()
 
+def _involved(dealt: DataFrame, similarity: float) -> DataFrame:
+    """The sids that have anyone in another component to be compared with."""
 
-def _joined(members: DataFrame, similarity: float, k: int, percent: int) -> DataFrame:
-    """Links (a, b) among `members` (cluster, c, sid, n, wide, text), by full sets: enough of them in each pair of blocks to join all that is linked there."""
+    def of(at, wide, _):
+        hit = np.zeros(len(wide), bool)
+        for x, near, _ in _close_rows(at, wide, similarity, at["c"]):
+            hit[x] = hit[near] = True
+        for x in at["sid"][hit].tolist():
+            yield (x,)
 
-    def compare(table: pa.Table) -> pa.Table:
-        sid, c = table.column("sid").to_numpy(), table.column("c").to_numpy()
-        texts = table.column("text").to_pylist()
-        sets: dict[int, np.ndarray] = {}
-        up = np.unique(c, return_inverse=True)[1].tolist()  # a component to start with
-        root = list(range(max(up, default=-1) + 1))
+    return _by_group(dealt, of, "sid long").distinct()
 
-        def find(x: int) -> int:
-            x = up[x]
-            while root[x] != x:
-                root[x] = root[root[x]]
-                x = root[x]
-            return x
 
-        def of(x: int) -> np.ndarray:
+def _joined(dealt: DataFrame, similarity: float, k: int, percent: int) -> DataFrame:
+    """Components (a, b) that full sets join, enough of them in each group to join all that is linked there."""
+
+    def of(at, wide, texts):
+        label, sets = at["c"].copy(), {}
+
+        def shingles(x: int) -> np.ndarray:
             if x not in sets:
-                sets[x] = shingle_set(texts[x], k)
+                sets[x] = shingle_set(texts[x].as_py(), k)
             return sets[x]
 
-        a, b = [], []
-        for x, at in _pairs(table, similarity):
-            for y in at.tolist():
-                if find(x) != find(y):
-                    p, q = of(x), of(y)
+        for x, near, _ in _close_rows(at, wide, similarity, label):
+            for y in near.tolist():
+                if label[x] != label[y]:
+                    p, q = shingles(x), shingles(y)
                     both = len(np.intersect1d(p, q, assume_unique=True))
                     if 100 * both >= percent * (len(p) + len(q) - both):
-                        root[find(x)] = find(y)
-                        a.append(sid[x])
-                        b.append(sid[y])
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+                        yield at["c"][x], at["c"][y]
+                        label[label == label[y]] = label[x]
+
+    return _by_group(dealt, of, "a long, b long")
 
-    return _deal(members).groupBy("cluster", "i", "j").applyInArrow(compare, "a long, b long")
+
+def _relabelled(frame: DataFrame, merged: DataFrame) -> DataFrame:
+    """`frame` with c as (v, c) of `merged` has it."""
+    names = frame.columns
+    return frame.join(merged.select(F.col("v").alias("c"), F.col("c").alias("now")), "c", "left").withColumn("c", F.coalesce("now", "c")).select(*names)
 
 
 def _linked(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
@@ -280,14 +350,15 @@ def _grouped(docs: DataFrame, k: int, percent: int) -> DataFrame:
     chunks = chunks_for(similarity)
     filed = stored(_file(docs, k, chunks * SLOTS), "signatures")
     classes = filed.where("set_id is not null").groupBy("set_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")).alias("first"), F.first("n_shingles").alias("n"), F.first("signature").alias("signature"), F.first("wide").alias("wide"))
-    # A class goes by its least doc_id. Null ids, and ids repeated with other texts, go by numbers above all real ones.
-    own = F.lit(1 << 62) + F.pmod(F.xxhash64("set_id"), F.lit(1 << 61))
+    # A class goes by its least doc_id. Null ids, those from REAL_IDS on, and ids repeated with other texts, go by numbers above all others.
+    own = F.lit(REAL_IDS) + F.pmod(F.xxhash64("set_id"), F.lit(1 << 61))
     marks = stored(classes.select("set_id", "n", "signature", "wide", F.col("first.doc_id").alias("least"), F.col("first.text_hash").alias("text_hash"), own.alias("own")), "classes")
+    plain = F.when(F.col("least") < REAL_IDS, F.col("least"))
     twice = marks.where("least is not null").groupBy("least").agg(F.count("*").alias("times")).where("times > 1")
     if twice.isEmpty():
-        marks = marks.withColumn("sid", F.coalesce("least", "own"))
+        marks = marks.withColumn("sid", F.coalesce(plain, "own"))
     else:
-        marks = stored(marks.join(twice, "least", "left").withColumn("sid", F.when(F.col("times").isNull(), F.coalesce("least", "own")).otherwise(F.col("own"))).drop("times"), "classes")
+        marks = stored(marks.join(twice, "least", "left").withColumn("sid", F.when(F.col("times").isNull(), F.coalesce(plain, "own")).otherwise(F.col("own"))).drop("times"), "classes")
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -301,23 +372,32 @@ def _grouped(docs: DataFrame, k: int, percent: int) -> DataFrame:
     heads = under_keys.groupBy("key").agg(F.min("sid").alias("head"), F.count("*").alias("n")).where("n > 1").select("key", "head")
     own = Window.partitionBy("sid")  # a class has chunks * SLOTS rows
     met = stored(under_keys.join(heads, "key").select("sid", "head").distinct().withColumn("first", F.min("head").over(own)), "met")
-    first = met.where("sid != first").select(F.col("first").alias("a"), F.col("sid").alias("b")).distinct()
-    # Clusters: a class is joined to its first head, and that to the class's other heads. Heads are few, so this is about a row a class.
-    meeting = first.union(met.where("head != first").select(F.col("first").alias("a"), F.col("head").alias("b"))).distinct()
-    clusters = components(meeting).withColumnRenamed("v", "sid").withColumnRenamed("c", "cluster")
-
+    first = met.where("sid != first and head = first").select(F.col("first").alias("a"), F.col("sid").alias("b"))
     near = stored(_close(first, marks, similarity), "near")
-    links = stored(_linked(near, _texts(docs, marks, near.select(F.explode(F.array("a", "b")).alias("sid"))), k, percent), "linked")
-    labels = components(links)
-    members = clusters.join(labels.withColumnRenamed("v", "sid"), "sid", "left").withColumn("c", F.coalesce("c", "sid"))
-    open_clusters = members.groupBy("cluster").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 < c1").select("cluster")
-    left = stored(members.join(open_clusters, "cluster").join(marks.select("sid", "n", "wide"), "sid").select("cluster", "c", "sid", "n", "wide"), "open")
-    involved = stored(_involved(left, similarity), "involved")
-    texts = _texts(docs, marks, involved)
-    more = stored(_joined(left.join(texts, "sid"), similarity, k, percent), "linked")
-    if not more.isEmpty():
-        labels = components(links.unionByName(more))
+    texts = stored(_texts(docs, marks, met.select("sid")), "texts")  # the only time that all texts move
+    of = lambda pairs: texts.join(pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct(), "sid")
+    labels = trees(_linked(near, of(near), k, percent))
+
+    tried = (F.col("head") == F.col("first")) & (F.col("sid") != F.col("head"))
+    members = met.select("head", "sid", tried.alias("tried")).join(labels.withColumnRenamed("v", "sid"), "sid", "left").withColumn("c", F.coalesce("c", "sid"))
+    several = members.groupBy("head").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.count("*").alias("rows"), F.count_if("tried").alias("some")).where("c0 < c1").where("rows > 2 or some = 0").select("head")
+    left = stored(members.join(several, "head").join(marks.select("sid", "n", "wide"), "sid").select("head", "c", "sid", "n", "tried", "wide"), "open")
+    merged = None
+    if not left.isEmpty():
+        forest = stored(_forest(_deal(left), similarity).dropDuplicates(["a", "b"]), "forest")
+        fits = _linked(forest.select("a", "b"), of(forest), k, percent)
+        joins = stored(forest.join(fits, ["a", "b"]).select(F.col("ca").alias("a"), F.col("cb").alias("b")), "joins")
+        if not joins.isEmpty():
+            merged = components(joins)
+            left = stored(_relabelled(left, merged), "open")
+        involved = stored(_involved(_deal(left), similarity), "involved")
+        if not involved.isEmpty():
+            more = stored(_joined(_deal(left.join(involved, "sid").join(texts, "sid")), similarity, k, percent), "joins")
+            if not more.isEmpty():
+                merged = components(joins.unionByName(more))
     found = marks.select("set_id", "sid", "least").join(labels.withColumnRenamed("v", "sid"), "sid", "left").withColumn("c", F.coalesce("c", "sid"))
+    if merged is not None:
+        found = _relabelled(found, merged)
     least = found.groupBy("c").agg(F.min("least").alias("component_id"))
     named = stored(found.join(least, "c").select("set_id", F.col("c").alias("component"), "component_id"), "components")
     return filed.select("doc_id", "text_hash", "n_shingles", "set_id").join(named, "set_id", "left")

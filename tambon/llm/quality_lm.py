@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .near_dup import stir
-from .shared import dropped, only, read_table, shuffle_partitions, stored, worker_cache
+from .shared import dropped, give_back, only, read_table, shuffle_partitions, stored, worker_cache
 
 BITS = 18
 HEAD = 1 << BITS
@@ -50,7 +50,7 @@ HASH_BITS = 47  # of keys that are hashes: a key that the model doesn't have mee
 _top, _mix, _hash = np.uint64(1 << 63), np.uint64(0x9E3779B97F4A7C15), np.uint64((1 << HASH_BITS) - 1)
 BATCH_DOCS, BATCH_WORDS = 2048, 1_000_000
 COUNTED = 1 << 15  # mark of a document that the model has counted, beside its number in the batch
-CACHE_CHUNKS = 200_000
+CACHE_CHUNKS = 100_000
 SAMPLE = 2000
 BROADCAST_LABELS = 5_000_000
 LOW, HIGH, MARGIN = 0.01, 0.98, 0.25
@@ -65,10 +65,11 @@ def normal(chunk: str) -> str:
 
 
 class Words:
-    """From chunk to word number or hash, remembering what was worked out."""
+    """From chunk to word number or hash, remembering what was worked out. The vocabulary: hashes of the words with numbers, sorted, and their numbers."""
 
-    def __init__(self, vocabulary: dict[str, int]):
-        self.vocabulary, self.known = vocabulary, {}
+    def __init__(self, vocabulary: tuple[np.ndarray, np.ndarray]):
+        self.hashes, self.numbers = vocabulary
+        self.known: dict[str, int] = {}
 
     def of(self, text: str | None) -> np.ndarray:
         if len(self.known) > CACHE_CHUNKS:
@@ -77,10 +78,13 @@ class Words:
         try:
             return np.array([known[c] for c in chunks], dtype=np.uint64)
         except KeyError:
-            for c in set(chunks):
-                if c not in known:
-                    word = normal(c)
-                    known[c] = self.vocabulary.get(word) or xxhash.xxh64_intdigest(word) | 1 << 63
+            new = [c for c in set(chunks) if c not in known]
+            h = np.array([xxhash.xxh64_intdigest(normal(c)) for c in new], dtype=np.uint64)
+            found = h | _top
+            if len(self.hashes):
+                at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
+                found = np.where(self.hashes[at] == h, self.numbers[at], found)
+            known.update(zip(new, found.tolist(), strict=True))
             return np.array([known[c] for c in chunks], dtype=np.uint64)
 
 
@@ -188,8 +192,8 @@ def discounts(n: np.ndarray) -> np.ndarray:
     return np.array([0, *[float(np.clip(x, 0.05, k + 0.95)) for k, x in enumerate(d)]])
 
 
-def _vocabulary(trusted: DataFrame, head: int) -> tuple[dict[str, int], int]:
-    """The words that have a number, and the number of distinct words."""
+def _vocabulary(trusted: DataFrame, head: int) -> tuple[tuple[np.ndarray, np.ndarray], int]:
+    """The words that have a number (see Words), and the number of distinct words."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: Counter = Counter()
@@ -222,7 +226,9 @@ def _vocabulary(trusted: DataFrame, head: int) -> tuple[dict[str, int], int]:
     table = counts.where(of >= least).toArrow() if least is not None else pa.table({"word": pa.array([], pa.string()), "n": pa.array([], pa.int64())})
     words = sorted(zip(table.column("n").to_pylist(), table.column("word").to_pylist(), strict=True), key=lambda x: (-x[0], x[1]))
     dropped(counts)
-    return {word: i + FIRST for i, (_, word) in enumerate(words)}, sum(row.words for row in sizes)
+    hashes = np.array([xxhash.xxh64_intdigest(word) for _, word in words], dtype=np.uint64)
+    order = np.argsort(hashes)
+    return (hashes[order], (order + FIRST).astype(np.uint64)), sum(row.words for row in sizes)
 
 
 def _bounds(trusted: DataFrame, vocabulary: Broadcast, key: str, shards: int) -> np.ndarray:
@@ -284,6 +290,8 @@ def _count(trusted: DataFrame, vocabulary: Broadcast, key: str, bounds: np.ndarr
                         plain, others, size = [], [], 0
         if plain:
             yield flush()
+        del plain, others
+        give_back()
 
     def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, parts, size = None, [], 0
@@ -435,7 +443,7 @@ def _gains(counts: DataFrame, hashed: DataFrame, model: Model) -> DataFrame:
 
         return packed(known())
 
-    rows = counts.where("kind = 1").mapInArrow(pairs, "v long, w long, n long")
+    rows = stored(counts.where("kind = 1").mapInArrow(pairs, "v long, w long, n long"), "pairs")  # so that no task needs two Python workers
     before, after = hashed.select(F.col("id").alias("v"), "total", "log_rest"), hashed.select(F.col("id").alias("w"), "log_low")
     none = F.lit(None).cast("double")
     # Numbers are never joined on: only words outside the head are, and none of them is frequent.
@@ -453,7 +461,6 @@ def train(trusted: DataFrame, head: int = HEAD) -> tuple[Model, DataFrame] | Non
     if not kinds:
         return None
     vocabulary = spark.sparkContext.broadcast(words)
-    del words
     bounds = _bounds(trusted, vocabulary, key, shards)
     counts = _count(trusted, vocabulary, key, bounds, shards)
     model, hashed = _statistics(counts, vocabulary, bounds, kinds, shards)
@@ -528,6 +535,8 @@ def perplexity(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
                     docs, keys, of, times, marks, done, size = [], [], [], [], [], done + 1, 0
         if docs:
             yield flush()
+        del docs, keys, of, times, marks
+        give_back()
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, shard, known, gain, seen, more = held.value, None, np.zeros(0, np.uint64), np.zeros(0), np.zeros(0, np.int64), []

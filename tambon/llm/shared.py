@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -100,14 +104,26 @@ _worker: dict[str, object] = {}
 def worker_cache(key: str, make):
     """An object that a Python worker keeps between tasks. One at a time: another key's object goes, so that stages don't add up their caches."""
     if key not in _worker:
-        _worker.clear()
+        if _worker:
+            _worker.clear()
+            give_back()
         _worker[key] = make()
     return _worker[key]
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Python workers get at most so many rows at a time: texts can be long."""
+def give_back() -> None:
+    """Memory that a worker no longer uses goes back to the system: workers outlive stages."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def small_batches(spark: SparkSession, rows: int = 1000, size: int = 2 << 20) -> None:
+    """Python workers get at most so many rows and bytes at a time: texts can be long."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+    spark.conf.set("spark.sql.parquet.columnarReaderBatchSize", 256)  # as the reader holds a batch of whole texts at once
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

@@ -453,3 +453,17 @@ def test_quality_of_counted_documents_is_that_without_them(spark):
     for k in (0, 3):
         without = score(*m.train(docs(spark, rows).where(F.col("doc_id") != k), head=200), False)[k]
         assert known[k] < left_out[k] and abs(left_out[k] - without) < 0.15 * (without - known[k]) + 0.05
+
+
+@pytest.mark.parametrize("size", [1, 2, 3])
+def test_decontamination_of_items_of_few_words(spark, size):
+    """Items too short for a window are found wherever they stand as they are, at the ends of texts too, and never across two texts."""
+    from tambon.llm import decontaminate as m
+
+    items = [(k, " ".join(f"item{k}x{n}" for n in range(size))) for k in range(60)]
+    rows = [(k, prose(k, 20) + " " + text + (" " + prose(k + 500, 9) if k % 3 else ""), "en") for k, text in items]
+    rows += [(1000, prose(77, 40) + " item1x0", "en"), (1001, "item1x1 item1x2 " + prose(78, 40), "en"), (1002, None, "en"), (1003, "", "en")]
+    bench = spark.createDataFrame([*items, (900, items[5][1].upper() + "!")], "item_id long, text string")
+    got = {(r.doc_id, r.item_id, r.distance) for r in m.find(docs(spark, rows), bench).collect()}
+    expected = {(k, k, 0) for k, _ in items} | {(5, 900, 0)} | ({(1000, 1, 0)} if size == 1 else set())
+    assert got == expected
