@@ -10,8 +10,8 @@ keeps at most MAX_WORDS words and MAX_GRAMS n-grams, so that what is broadcast i
 
 Defined cases: null text, or text without a letter, gives `und` with score 0; without any
 labelled row every document gets `und`; ties go to the language first in the alphabet;
-repeated rows are scored one by one; a null doc_id trains like any other; extra columns are kept
-by `identify` and ignored by the query.
+repeated rows are scored one by one; a null doc_id trains like any other; a very long text is scored whole, and a very long word
+counts as any other; an empty table gives no rows; extra columns are kept by `identify`, which replaces columns named lang_pred and score, and ignored by the query.
 """
 
 from __future__ import annotations
@@ -188,7 +188,9 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
         scorer = worker_cache(key, lambda: Scorer(held.value))
         return pd.DataFrame(scorer(texts.tolist()), columns=["lang_pred", "score"])
 
-    return docs.withColumn("_found", predict(F.col(text))).withColumns({"lang_pred": F.col("_found.lang_pred"), "score": F.col("_found.score")}).drop("_found")
+    predict = predict.asNondeterministic()  # else a filter on what it returns would have it run twice
+    found = f"_found_{key}"
+    return docs.withColumn(found, predict(F.col(text))).withColumns({"lang_pred": F.col(f"{found}.lang_pred"), "score": F.col(f"{found}.score")}).drop(found)
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

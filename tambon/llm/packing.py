@@ -17,7 +17,8 @@ length are interchangeable up to rank; what the driver holds is bounded by the c
 the number of intervals, never by the number of documents.
 
 Defined cases: a null or empty text is the end id alone; a null doc_id is kept as null; repeated
-doc_ids are packed each on their own; an empty table gives no rows; extra columns are ignored.
+doc_ids are packed each on their own; a very long text is cut into as many pieces as it takes; ties between pieces of one length go by doc_id, piece and
+checksum, and equal rows are interchangeable; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -37,6 +38,7 @@ from .wordpiece import encoder, tokenizer_file
 
 CAPACITY = 2048
 SEPARATOR = 0
+LENGTH_BITS, RANK_BITS = 22, 40
 
 
 def cut(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, separator: int = SEPARATOR, keep_ids: bool = False) -> DataFrame:
@@ -124,6 +126,8 @@ def sweep(counts: dict[int, int], capacity: int = CAPACITY) -> tuple[list[tuple[
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """`pieces` (length and any other columns) with sequence_id and offset."""
+    if not 0 < capacity < 1 << LENGTH_BITS:
+        raise ValueError(f"a capacity is positive and below {1 << LENGTH_BITS}")
     spark = pieces.sparkSession
     keys = [F.col(c) for c in ("length", "doc_id", "piece", "ids_crc32")]
     names = pieces.columns
@@ -154,8 +158,8 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
         counts[row.length] = counts.get(row.length, 0) + row.n
     placed, _ = sweep(counts, capacity)
     plan = np.array(placed, dtype=np.int64).reshape(-1, 5)
-    # (length, rank) as one ascending number: a run has fewer than 2^48 documents.
-    codes = (plan[:, 0] << 48) + plan[:, 1]
+    # (length, rank) as one ascending number: a run has fewer than 2^RANK_BITS documents.
+    codes = (plan[:, 0] << RANK_BITS) + plan[:, 1]
     held = spark.sparkContext.broadcast((before, plan, codes))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -165,10 +169,10 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
                 continue
             length = batch.column(names.index("length")).to_numpy(zero_copy_only=False).astype(np.int64)
             part, local = (batch.column(len(names) + i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (0, 1))
-            mixed = (part << 16) + length
+            mixed = (part << LENGTH_BITS) + length
             some, back = np.unique(mixed, return_inverse=True)
-            rank = local + np.array([before[int(x) >> 16, int(x) & 0xFFFF] for x in some], np.int64)[back]
-            hit = plan[np.searchsorted(codes, (length << 48) + rank, "right") - 1]
+            rank = local + np.array([before[int(x) >> LENGTH_BITS, int(x) & ((1 << LENGTH_BITS) - 1)] for x in some], np.int64)[back]
+            hit = plan[np.searchsorted(codes, (length << RANK_BITS) + rank, "right") - 1]
             i = rank - hit[:, 1]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(hit[:, 2] + i // hit[:, 3]), pa.array(hit[:, 4] + i % hit[:, 3] * length)], names=[*names, "sequence_id", "offset"])
 

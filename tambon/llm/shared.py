@@ -65,9 +65,10 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     a driver with little to do puts off for long, so it is told to.
     """
     spark = df.sparkSession
-    path = scratch_path(spark, name)
+    path, release = scratch_path(spark, name), spark.sparkContext._jvm.System.gc
+    release()  # listeners may have held the plan before this one until now
     df.write.parquet(path)
-    spark.sparkContext._jvm.System.gc()
+    release()
     return spark.read.schema(df.schema).parquet(path)
 
 

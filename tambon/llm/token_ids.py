@@ -11,15 +11,16 @@ The file format is a table of blocks. A block holds consecutive documents (ascen
     id_bytes    int     2 or 4
     ends        binary  Elias-Fano code of the documents' ends within the block
     doc_ids     binary  n_docs little-endian signed 64-bit document ids
+    nulls       binary  n_docs bytes, 1 where the document's id is null; none if no id of the block is
 
 and a manifest (shard, base): the ids before each shard. Both are Parquet, written by Spark's
 own committer, so a retried or speculative task never leaves half a file, and any store that
 Spark can write will do. No table of 64-bit offsets is kept anywhere: `EliasFano.select` gives
-a document's end in constant expected time from its high bits (one sample each 64 ones).
+a document's end in constant expected time from its high bits (one sample each 64 ones), and reading goes by it.
 
 Defined cases: a null or empty text is a document of the end id alone; a null doc_id is stored
-with a null mark and sorts first; repeated doc_ids are all kept, ordered by text; an empty table
-gives no blocks and no rows; extra columns are ignored.
+with a null mark and sorts first; repeated doc_ids are all kept, ordered by text, and equal rows are interchangeable; a very long text is one document,
+whose block ends with it; an empty table gives no blocks and no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -38,7 +39,6 @@ from .wordpiece import encoder, tokenizer_file
 
 BLOCK_IDS = 1 << 20
 END_ID = 2
-NULL_ID = -(1 << 63)
 SAMPLE = 64
 
 
@@ -106,15 +106,16 @@ class EliasFano:
         return high | (bits << np.arange(self.low_bits)).sum(axis=1)
 
 
-BLOCKS = pa.schema([("shard", pa.int32()), ("block", pa.int32()), ("first", pa.int64()), ("n_docs", pa.int32()), ("n_ids", pa.int64()), ("ids", pa.binary()), ("id_bytes", pa.int32()), ("ends", pa.binary()), ("doc_ids", pa.binary())])
-BLOCKS_SQL = "shard int, block int, first long, n_docs int, n_ids long, ids binary, id_bytes int, ends binary, doc_ids binary"
+BLOCKS = pa.schema([("shard", pa.int32()), ("block", pa.int32()), ("first", pa.int64()), ("n_docs", pa.int32()), ("n_ids", pa.int64()), ("ids", pa.binary()), ("id_bytes", pa.int32()), ("ends", pa.binary()), ("doc_ids", pa.binary()), ("nulls", pa.binary())])
+BLOCKS_SQL = "shard int, block int, first long, n_docs int, n_ids long, ids binary, id_bytes int, ends binary, doc_ids binary, nulls binary"
 
 
-def _block(shard: int, block: int, first: int, docs: list[int], parts: list[bytes]) -> pa.RecordBatch:
+def _block(shard: int, block: int, first: int, docs: list[int | None], parts: list[bytes]) -> pa.RecordBatch:
+    nulls = bytes(doc is None for doc in docs) if None in docs else None
     ids = np.frombuffer(b"".join(parts), "<u4")
     ends = EliasFano.of(np.cumsum([len(p) // 4 for p in parts]))
     small = not len(ids) or int(ids.max()) < 1 << 16
-    row = [shard, block, first, len(docs), len(ids), ids.astype("<u2" if small else "<u4").tobytes(), 2 if small else 4, ends.to_bytes(), np.array(docs, dtype="<i8").tobytes()]
+    row = [shard, block, first, len(docs), len(ids), ids.astype("<u2" if small else "<u4").tobytes(), 2 if small else 4, ends.to_bytes(), np.array([doc or 0 for doc in docs], dtype="<i8").tobytes(), nulls]
     return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, BLOCKS.types, strict=True)], schema=BLOCKS)
 
 
@@ -127,13 +128,13 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID,
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, shard = encoder(tokenizer), TaskContext.get().partitionId()
         block = first = held = 0
-        ids: list[int] = []
+        ids: list[int | None] = []
         parts: list[bytes] = []
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 piece = batch.slice(at, 256)
                 for doc, code in zip(piece.column(0).to_pylist(), enc.encode(piece.column(1).to_pylist()), strict=True):
-                    ids.append(NULL_ID if doc is None else doc)
+                    ids.append(doc)
                     parts.append(code + end)
                     held += len(code) // 4 + 1
                     if held >= block_ids:
@@ -142,7 +143,8 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID,
         if ids:
             yield _block(shard, block, first, ids, parts)
 
-    ranged = docs.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    # Ranges by text's hash too, so that one id's many rows, or rows without an id, are dealt over partitions.
+    ranged = docs.repartitionByRange("doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"), "text").select("doc_id", "text")
     ranged.mapInArrow(encode, BLOCKS_SQL).write.parquet(f"{path}/blocks")
     totals = spark.read.schema(BLOCKS_SQL).parquet(f"{path}/blocks").groupBy("shard").agg(F.sum("n_ids").alias("n")).orderBy("shard").collect()
     before, rows = 0, []
@@ -161,19 +163,23 @@ def read_ids(spark: SparkSession, path: str, with_ids: bool = False) -> DataFram
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for base, first, width, ids, ends, docs in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
+            for base, first, width, ids, ends, docs, nulls in zip(*(batch.column(i).to_pylist() for i in range(7)), strict=True):
                 ids = np.frombuffer(ids, f"<u{width}").astype("<u4")
-                ends = EliasFano.from_bytes(ends).all()
-                starts = np.concatenate([[0], ends[:-1]])
-                raw = memoryview(ids.tobytes())
-                crc = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
-                docs = np.frombuffer(docs, "<i8")
-                out = [pa.array(docs, mask=docs == NULL_ID), pa.array(starts + first + base), pa.array(ends - starts), pa.array(crc, pa.int64())]
+                code, raw, begin = EliasFano.from_bytes(ends), memoryview(ids.tobytes()), 0
+                starts, sizes, crc = [], [], []
+                for i in range(code.n):
+                    end = code.select(i)
+                    starts.append(base + first + begin)
+                    sizes.append(end - begin)
+                    crc.append(zlib.crc32(raw[4 * begin : 4 * end]))
+                    begin = end
+                marks = np.frombuffer(nulls, np.uint8).astype(bool) if nulls else None
+                out = [pa.array(np.frombuffer(docs, "<i8"), mask=marks), pa.array(starts, pa.int64()), pa.array(sizes, pa.int64()), pa.array(crc, pa.int64())]
                 if with_ids:
-                    out.append(pa.ListArray.from_arrays(pa.array(np.append(starts, ends[-1:]).astype(np.int32)), pa.array(ids.astype(np.int32))))
+                    out.append(pa.ListArray.from_arrays(pa.array(np.cumsum([0, *sizes]).astype(np.int32)), pa.array(ids.astype(np.int32))))
                 yield pa.RecordBatch.from_arrays([x.cast(k) for x, k in zip(out, kinds, strict=True)], names=names)
 
-    joined = blocks.join(F.broadcast(manifest), "shard").select("base", "first", "id_bytes", "ids", "ends", "doc_ids")  # a row for each range of ids
+    joined = blocks.join(F.broadcast(manifest), "shard").select("base", "first", "id_bytes", "ids", "ends", "doc_ids", "nulls")  # a row for each range of ids
     return joined.mapInArrow(decode, "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<int>" * with_ids)
 
 

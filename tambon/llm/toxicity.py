@@ -11,9 +11,9 @@ The classifier is fitted on a bounded Bernoulli sample of labelled rows: SAMPLE_
 class on average. Lexicon and trees are bounded by LEXICON and ROUNDS.
 
 Defined cases: null or empty text scores like one without any sign of toxicity; labels that are
-null are not learned from; without rows of both classes the score is the share of toxic labels (0 without
-any); a row whose doc_id is null is held out and scored; repeated rows are scored one by one;
-extra columns are ignored.
+null or match no document are not learned from; without rows of both classes the score is the share of toxic labels (0 without
+any); a row whose doc_id is null is held out and scored; repeated rows are scored one by one; equal texts get equal scores; a very long text
+is scored whole; an empty table gives no rows; extra columns are ignored, and `score` replaces columns of the names that it adds.
 """
 
 from __future__ import annotations
@@ -198,8 +198,9 @@ def lexicon(rows: list[tuple[str, int, int]], toxic: int, clean: int) -> dict[st
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS) -> Model:
     """From (doc_id, text) and (doc_id, toxic) of the rows that may be learned from.
 
-    Labels are sampled before they meet the texts: at most about 2 * per_class ids go to every task, and no text moves but the sample's.
+    Labels that match no document don't count. They are sampled before they meet the texts: at most about 2 * per_class ids go to every task, and no text moves but the sample's.
     """
+    labels = labels.join(docs.where("doc_id is not null").select("doc_id"), "doc_id", "left_semi")
     sizes = {r.toxic: r["count"] for r in labels.groupBy("toxic").count().collect()}
     share = sizes.get(1, 0) / max(1, sum(sizes.values()))
     if min(sizes.get(0, 0), sizes.get(1, 0)) < 2 * LEAST_DOCS:
@@ -248,6 +249,8 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS) -
     x = np.array(got.x.tolist()).reshape(len(got), len(NAMES))
     order = np.lexsort([*x.T, got.fold.to_numpy(), got.toxic.to_numpy()])
     x, y, fold = x[order], got.toxic.to_numpy()[order].astype(float), got.fold.to_numpy()[order]
+    if len(np.unique(y)) < 2:
+        return Model({}, None, np.zeros(0), np.zeros(0), share)
     w = np.where(y == 1, sizes[1] / max(1, y.sum()), sizes[0] / max(1, (1 - y).sum()))
     w /= w.mean()
     raw = np.zeros(len(y))
@@ -270,6 +273,7 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
         x = np.array([chunks.features(t) for t in texts]).reshape(len(texts), len(NAMES))
         return pd.Series(model.score(x))
 
+    of = of.asNondeterministic()  # else what is worked out from the score would have it run again
     return docs.withColumn("score", of(F.col(text))).withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
 
 

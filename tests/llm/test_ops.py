@@ -467,3 +467,63 @@ def test_decontamination_of_items_of_few_words(spark, size):
     got = {(r.doc_id, r.item_id, r.distance) for r in m.find(docs(spark, rows), bench).collect()}
     expected = {(k, k, 0) for k, _ in items} | {(5, 900, 0)} | ({(1000, 1, 0)} if size == 1 else set())
     assert got == expected
+
+
+def test_toxicity_of_labels_without_documents(spark):
+    """Labels that match no document teach nothing, and an empty table of documents is no error."""
+    from tambon.llm import toxicity as m
+
+    df = docs(spark, [(k, prose(k, 30) + " grubnik" * (k % 2), "en") for k in range(60)])
+    labels = spark.createDataFrame([(k, k % 2) for k in range(60)] + [(1000 + k, 1) for k in range(500)], "doc_id long, toxic int")
+    alone = labels.where("doc_id < 60")
+    assert m.fit(df, labels).share == m.fit(df, alone).share == 0.5
+    empty = df.where("false")
+    model = m.fit(empty, labels)
+    assert m.score(empty, model).count() == 0 and [x.score for x in m.score(df.limit(1), model).collect()] == [0.0]
+
+
+@pytest.mark.parametrize("capacity", [64, 40_000, 70_000])
+def test_packing_of_any_capacity(spark, capacity):
+    """No two pieces share a place, and sequences have no gaps before their last piece."""
+    from tambon.llm import packing as m
+
+    rows = [(k, int(n)) for k, n in enumerate(np.random.default_rng(3).integers(1, capacity + 1, 300))] + [(900, capacity), (901, capacity)]
+    pieces = spark.createDataFrame([(k, 0, 0, n, 0) for k, n in rows], "doc_id long, piece int, start long, length long, ids_crc32 long")
+    got = m.pack(pieces, capacity).toPandas().sort_values(["sequence_id", "offset"])
+    assert len(got) == len(rows) and (got.groupby("sequence_id").length.sum() <= capacity).all()
+    assert (got.groupby("sequence_id").length.cumsum() - got.length == got.offset).all()
+    with pytest.raises(ValueError):
+        m.pack(pieces, 1 << 22)
+
+
+def test_token_files_hold_every_id(spark, tmp_path):
+    from tambon.llm import token_ids as m
+    from tambon.llm.wordpiece import tokenizer_file
+
+    ids = [None, -(1 << 63), -1, 0, (1 << 63) - 1, None]
+    m.write_ids(docs(spark, [(k, "one two", "en") for k in ids]), f"file://{tmp_path}/all", tokenizer_file())
+    got = sorted(m.read_ids(spark, f"file://{tmp_path}/all").collect(), key=lambda r: r.start)
+    assert [r.doc_id for r in got] == [None, None, -(1 << 63), -1, 0, (1 << 63) - 1]
+
+
+def test_long_words_teach_languages_whole(spark):
+    from tambon.llm import language_id as m
+
+    long = "donaudampfschifffahrtsgesellschaftskapitaenswitwenrente"
+    model = m.fit(docs(spark, [(k, f"{long} und", "de") for k in range(9)] + [(k + 50, "the and of", "en") for k in range(9)]))
+    assert long in model.words and long[:40] not in model.words
+
+
+@pytest.mark.parametrize("stage", range(5))
+def test_stages_on_clashing_names_and_empty_tables(spark, stage, tmp_path):
+    """A second column TEXT beside text, null and repeated ids: stages run, keep the columns, and are given nothing without complaint."""
+    import corpus_pipeline
+
+    name, of = corpus_pipeline.STAGES[stage]
+    spark.createDataFrame([(900, prose(50, 40))], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    spark.createDataFrame([(1, 1, 0), (6, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    df = odd(spark)
+    left = of(spark, df, str(tmp_path))
+    assert name == "best_fit_packing" or left.columns == df.columns
+    assert left.count() > 0
+    assert of(spark, df.where("false"), str(tmp_path)).count() == 0
