@@ -14,6 +14,7 @@ import re
 from bisect import bisect_left
 from collections import defaultdict
 from dataclasses import dataclass, field
+from itertools import accumulate
 from operator import itemgetter
 
 from ..functions import thai_text as t
@@ -47,12 +48,15 @@ class Options:
     candidates_per_label: int = 24
     min_field_confidence: float = 0.5
     diagnostics: str = "summary"
+    offsets: str = "utf-16"  # the unit of the data contract, or "code-point"
 
     def __post_init__(self) -> None:
         for name in ("beam_width", "candidates_per_label"):
             value = getattr(self, name)
             if not isinstance(value, int) or isinstance(value, bool) or value <= 0:
                 raise ValueError(f"{name} must be a positive integer")
+        if self.offsets not in ("utf-16", "code-point"):
+            raise ValueError("offsets are in utf-16 units or code points")
         if not (math.isfinite(self.min_field_confidence) and 0 <= self.min_field_confidence <= 1):
             raise ValueError("min_field_confidence must be between zero and one")
 
@@ -76,6 +80,15 @@ def touches(a, b) -> bool:
     return a[0] < b[1] and b[0] < a[1]
 
 
+def in_units(raw: str, out: dict) -> dict:
+    """A parse with its offsets in UTF-16 units: characters beyond the basic plane take two."""
+    at = [0, *accumulate(1 + (c > "\uffff") for c in raw)]
+    for name in ("spans", "trace", "rejections"):
+        if name in out:
+            out[name] = [x | {"start": at[x["start"]], "end": at[x["end"]]} for x in out[name]]
+    return out
+
+
 def taken(ranges) -> int:
     """The positions of some ranges as bits."""
     bits = 0
@@ -415,7 +428,7 @@ class Parser:
             name, confidence = t.canonical(s.label, s.canonical), min(1.0, max(0.0, s.score))
             if s.label in ("SUBDISTRICT", "DISTRICT", "PROVINCE") and not s.ids:
                 confidence = min(confidence, UNVERIFIED_CAP)
-            reason = "inconsistent-location" if s.label in COLUMN and not agree else "invalid-format" if not name else "low-confidence" if confidence < self.options.min_field_confidence else None
+            reason = "invalid-offset" if not 0 <= s.start < s.end <= len(raw) or raw[s.start : s.end] != s.text else "inconsistent-location" if s.label in COLUMN and not agree else "invalid-format" if not name else "low-confidence" if confidence < self.options.min_field_confidence else None
             if reason:
                 abstained.append({"field": FIELD[s.label], "reason": reason})
             else:
@@ -424,7 +437,7 @@ class Parser:
         out = {**fields, "spans": spans, "confidence": sum(s["confidence"] for s in spans) / len(spans) if spans else 0.0, "abstentions": abstained, "candidates_evaluated": len(seeds), "hypotheses_evaluated": hypotheses}
         if self.options.diagnostics == "full":
             out |= {"trace": [self._traced(s, chosen, spans, abstained) for s in seeds], "rejections": refused}
-        return out
+        return in_units(raw, out) if self.options.offsets == "utf-16" and raw and max(raw) > "\uffff" else out
 
     def _traced(self, s: Seed, chosen, spans, abstained) -> dict:
         outcome, reason = "pruned", None

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
 import math
 import re
 import unicodedata
-from dataclasses import dataclass, field
+from dataclasses import asdict, dataclass, field, fields
 
 import numpy as np
 
@@ -63,6 +65,32 @@ class Resources:
         return "evidence-only" if not self.directions else "sparse-residual" if self.scoring == "residual-rank-v2" else "frozen-direction"
 
 
+def save(resources: Resources, gazetteer, path: str, gate: dict | None = None, **about) -> None:
+    """An artifact below `path`: the gazetteer as Parquet, everything else as one line of JSON with a checksum of directions and places.
+
+    `gate` and `about` (split, source) are kept as they are given; `provenance.artifact_gate` reads the gate.
+    """
+    spark = gazetteer.sparkSession
+    gazetteer.write.mode("overwrite").parquet(f"{path}/gazetteer")
+    plain = asdict(resources) | {"directions": {label: {"vector": [float(x) for x in vector], "bias": float(bias)} for label, (vector, bias) in resources.directions.items()}}
+    places = sorted([r.subdistrict, r.district, r.province, r.zipcode] for r in gazetteer.select("subdistrict", "district", "province", "zipcode").toLocalIterator())
+    checksum = hashlib.sha256(json.dumps([plain["directions"], places], sort_keys=True, ensure_ascii=False).encode()).hexdigest()
+    scales = {"residualScaleByLabel": resources.by_label} if resources.scoring == "residual-rank-v2" else {"weightByLabel": resources.by_label}
+    line = {"resources": plain | {"checksum": checksum, "scoringConfig": scales}, "promotionGate": gate, **about}
+    spark.createDataFrame([(json.dumps(line, ensure_ascii=False),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/artifact")
+
+
+def load(spark, path: str):
+    """The resources and the gazetteer of an artifact; fails where its checksum doesn't fit what it holds."""
+    whole = json.loads(spark.read.text(f"{path}/artifact").first()[0])["resources"]
+    gazetteer = spark.read.parquet(f"{path}/gazetteer")
+    places = sorted([r.subdistrict, r.district, r.province, r.zipcode] for r in gazetteer.select("subdistrict", "district", "province", "zipcode").toLocalIterator())
+    if hashlib.sha256(json.dumps([whole["directions"], places], sort_keys=True, ensure_ascii=False).encode()).hexdigest() != whole["checksum"]:
+        raise ValueError(f"the artifact {path} has been changed")
+    known = {f.name for f in fields(Resources)}
+    return Resources(**{k: v for k, v in whole.items() if k in known} | {"directions": {label: (np.array(x["vector"]), x["bias"]) for label, x in whole["directions"].items()}}), gazetteer
+
+
 def fnv1a(text: str) -> int:
     h = 0x811C9DC5
     units = text.encode("utf-16-le")

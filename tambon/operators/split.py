@@ -31,6 +31,15 @@ def for_training(records: DataFrame, seed: str, development: float = 0.15, evalu
     return records.withColumn("partition", part)
 
 
+def complete(split: DataFrame) -> DataFrame:
+    """The split itself; fails where train, development or evaluation holds no record."""
+    sides = {r.partition for r in split.select("partition").distinct().collect()}  # four at most
+    empty = [x for x in ("train", "development", "evaluation") if x not in sides]
+    if empty:
+        raise ValueError(f"no record is left for {', '.join(empty)}")
+    return split
+
+
 def template_conflicts(records: DataFrame, template: str, declared: str) -> DataFrame:
     """Template families that are declared on both sides."""
     return records.where(F.col(template).isNotNull() & F.col(declared).isNotNull()).groupBy(template).agg(F.countDistinct(declared).alias("sides")).where("sides > 1")

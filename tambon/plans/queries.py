@@ -281,7 +281,7 @@ def recipient_list(spark, sf_dir):
 @query(f"select id, case when b < 1500 then 'development' when b < 3500 then 'evaluation' else 'train' end as partition from (select id, {_FNV.format(x='chr(115) || chr(0) || ' + chr(39) + 'partition' + chr(39) + ' || chr(0) || gold_subdistrict || chr(0) || gold_district || chr(0) || gold_province || chr(0) || gold_zipcode')} % 10000 as b from ({CLEAN}) m) x")
 def training_split(spark, sf_dir):
     m = messages(spark, sf_dir).select("id", *[F.col(f"gold_{c}").alias(c) for c in split.KEY])
-    return split.for_training(m, "s").select("id", "partition")
+    return split.complete(split.for_training(m, "s")).select("id", "partition")
 
 
 @query("select c_mktsegment as family, count(distinct case when c_custkey % 2 = 0 then 'train' else 'evaluation' end) as sides from customer group by 1 having count(distinct case when c_custkey % 2 = 0 then 'train' else 'evaluation' end) > 1")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.thai_text import S, squeeze_column, strip_column
 
 PLACE = "struct<subdistrict:string,district:string,province:string,zipcode:string>"
+# Fixed values, here and in RECORD and LABELS: names of the data contract.
 EXPECTED = "struct<name:string,phone:string,address:string,subdistrict:string,district:string,province:string,zipcode:string>"
 RECORD = f"id string, raw string, caseType string, difficulty string, spans array<struct<label:string,text:string,canonical:string,start:int,end:int,codePointStart:int,codePointEnd:int>>, expected {EXPECTED}, seedLocation {PLACE}, seedProfile string, seedChat struct<datasetSplit:string,templateFamily:string,nameCategory:string,collision:struct<pairId:string>>"
 LABELS = ("NAME", "PHONE", "ADDRESS_DETAIL", "SUBDISTRICT", "DISTRICT", "PROVINCE", "POSTCODE", "OTHER")
@@ -21,7 +22,9 @@ def parsed_records(lines: DataFrame, value: str = "value") -> DataFrame:
     rows = text.withColumn("r", F.from_json(F.col(value), RECORD)).select(*[c for c in lines.columns if c != value], "r.*")
     points = lambda a, b: F.substring("raw", a + 1, b - a)
     bad_span = F.exists("spans", lambda s: ~F.coalesce(s["label"].isin(*LABELS) & s["start"].isNotNull() & s["end"].isNotNull() & (s["start"] >= 0) & (s["start"] < s["end"]), F.lit(False)))
-    bad_offset = F.exists("spans", lambda s: ~(points(s["codePointStart"], s["codePointEnd"]).eqNullSafe(s["text"])))
+    units = lambda at: F.when(at <= 0, at).otherwise((F.length(F.encode(F.substring("raw", F.lit(1), at), "UTF-16BE")) / 2).cast("int"))
+    right = lambda s: points(s["codePointStart"], s["codePointEnd"]).eqNullSafe(s["text"]) & units(s["codePointStart"]).eqNullSafe(s["start"]) & units(s["codePointEnd"]).eqNullSafe(s["end"])
+    bad_offset = F.exists("spans", lambda s: ~right(s))
     place = [F.coalesce(F.length(F.col(f"seedLocation.{c}")), F.lit(0)) > 0 for c in ("subdistrict", "district", "province", "zipcode")]
     rules: list[tuple[Column, str]] = [
         (F.col("id").isNull() | F.col("raw").isNull() | F.col("caseType").isNull() | F.col("difficulty").isNull(), "a required text is missing"),
@@ -113,3 +116,21 @@ def recipient_records(blocks: DataFrame) -> DataFrame:
     style = F.coalesce(*[F.when(F.col("_at").rlike(p), F.lit(name)) for name, p in styles.items()])
     named = [part(i + 1).alias(c) for i, c in enumerate(("address", "subdistrict", "district", "province", "zipcode"))]
     return rows.select(F.concat(F.lit("recipient-list-"), F.lpad(F.col("number").cast("string"), F.greatest(F.lit(4), F.length(F.col("number").cast("string"))), F.lit("0"))).alias("id"), "raw", style.alias("style"), "name", "phone", *named)
+
+
+def supplemented(blocks: DataFrame, supplement: DataFrame) -> DataFrame:
+    """Blocks without labelled lines, with the expected fields that `supplement` (raw, ...) has for exactly that text; fails at a block that it doesn't have."""
+    labelled = recipient_records(blocks).select("raw").distinct()
+    rest = blocks.join(labelled, "raw", "left_anti")
+    joined = rest.join(supplement.withColumn("_there", F.lit(True)), "raw", "left")
+    return joined.where(F.assert_true(F.col("_there").isNotNull(), F.concat(F.lit("no annotation of block "), F.col("number").cast("string"))).isNull()).drop("_there")
+
+
+def write_report(rows: DataFrame, path: str) -> None:
+    """A report, a few rows, as one file of JSON lines."""
+    rows.select(F.to_json(F.struct(*rows.columns)).alias("value")).coalesce(1).write.mode("overwrite").text(path)
+
+
+def external(rows: DataFrame, parser, fields: list[str]) -> DataFrame:
+    """Another parser's answers (`parser`: DataFrame to DataFrame with the fields), empty texts as nulls."""
+    return parser(rows).withColumns({f: F.nullif(F.col(f), F.lit("")) for f in fields})

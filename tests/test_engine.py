@@ -113,3 +113,94 @@ def test_pairwise_query_has_the_epochs_of_the_build(spark, monkeypatch):
     monkeypatch.setattr(m, "fit_pairwise", lambda *x, **options: asked.update(options) or {})
     m.pairwise_directions(spark, "")
     assert asked["epochs"] == 4
+
+
+def test_offsets_are_checked_in_both_units(spark):
+    from tambon.sources import readers
+
+    good = '{"id":"1","raw":"😀ab","caseType":"c","difficulty":"d","spans":[{"label":"NAME","text":"a","start":2,"end":3,"codePointStart":1,"codePointEnd":2}],"expected":{"name":"z"},"seedLocation":{"subdistrict":"a","district":"b","province":"c","zipcode":"1"}}'
+    lines = [good, good.replace('"start":2', '"start":1'), good.replace('"end":3', '"end":4'), good.replace('"codePointEnd":2', '"codePointEnd":3')]
+    said = [r.problem for r in readers.parsed_records(spark.createDataFrame([(x,) for x in lines], "value string")).collect()]
+    assert said == [None, *["a span's text is not at its offsets"] * 3]
+
+
+def test_offsets_of_a_parse_are_utf16_units():
+    from tambon.operators.kernel import Gazetteer, Options, Parser
+
+    places = Gazetteer([dict(subdistrict="นาดี", district="บ้านสุข", province="ลำธาร", zipcode="61110")])
+    raw = "คุณมาลัย 😀😀\n0899990001\nบ้านเลขที่ 3 ต.นาดี อ.บ้านสุข จ.ลำธาร 61110"
+    units = raw.encode("utf-16-le")
+    out = Parser(places, Options(diagnostics="full")).parse(raw)
+    for x in [*out["spans"], *out["trace"]]:
+        assert units[2 * x["start"] : 2 * x["end"]].decode("utf-16-le") == x["text"]
+    points = Parser(places, Options(offsets="code-point")).parse(raw)["spans"]
+    assert all(raw[x["start"] : x["end"]] == x["text"] for x in points) and points[-1]["start"] == out["spans"][-1]["start"] - 2
+    with pytest.raises(ValueError):
+        Options(offsets="bytes")
+
+
+def test_a_split_with_an_empty_side_fails(spark):
+    from tambon.operators import split
+
+    rows = spark.createDataFrame([(k, "a", "b", "c", "1") for k in range(5)], "id long, subdistrict string, district string, province string, zipcode string")
+    with pytest.raises(ValueError, match="no record"):
+        split.complete(split.for_training(rows, "s"))
+
+
+def test_artifacts_are_saved_gated_and_loaded(spark, tmp_path):
+    import numpy as np
+
+    from tambon.operators import provenance
+    from tambon.operators.engine import AddressEngine
+    from tambon.operators.scoring import Resources, load, save
+
+    places = spark.createDataFrame([("นาดี", "บ้านสุข", "ลำธาร", "61110", 0)], "subdistrict string, district string, province string, zipcode string, location_id int")
+    made = Resources("v1", 64, by_label={"NAME": 1.0}, directions={"NAME": (np.linspace(-1, 1, 64), 0.25)})
+    save(made, places, f"file://{tmp_path}/a", gate={"enforced": True, "passed": True}, split={"seed": "s"})
+    again, gazetteer = load(spark, f"file://{tmp_path}/a")
+    assert again.kind == made.kind == "sparse-residual" and (again.directions["NAME"][0] == made.directions["NAME"][0]).all()
+    text = spark.read.text(f"file://{tmp_path}/a/artifact").selectExpr("'a' as path", "value")
+    assert provenance.artifact_gate(text).first().failures == []
+    raw = spark.createDataFrame([("คุณมาลัย\n0899990001\nบ้านเลขที่ 3 ต.นาดี อ.บ้านสุข จ.ลำธาร 61110",)], "raw string")
+    assert AddressEngine(gazetteer, again).parse(raw).first().confidence == AddressEngine(places, made).parse(raw).first().confidence
+    save(made, places, f"file://{tmp_path}/b")
+    places.withColumn("zipcode", places.zipcode.substr(1, 4)).write.mode("overwrite").parquet(f"file://{tmp_path}/b/gazetteer")
+    with pytest.raises(ValueError, match="changed"):
+        load(spark, f"file://{tmp_path}/b")
+
+
+def test_supplements_reports_and_other_parsers(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from tambon.sources import readers
+
+    blocks = spark.createDataFrame([(1, "ชื่อผู้รับ: ก\nเบอร์โทร: 0899990001\nที่อยู่: 1 ถนน ตำบลข อำเภอค จังหวัดง 61110"), (2, "messy")], "number int, raw string")
+    extra = spark.createDataFrame([("messy", "ก")], "raw string, name string")
+    assert [(r.number, r.name) for r in readers.supplemented(blocks, extra).collect()] == [(2, "ก")]
+    with pytest.raises(Exception, match="no annotation of block 2"):
+        readers.supplemented(blocks, extra.where("false")).collect()
+    readers.write_report(extra, f"file://{tmp_path}/report")
+    assert spark.read.json(f"file://{tmp_path}/report").first().name == "ก"
+    got = readers.external(blocks, lambda rows: rows.withColumns({"name": F.lit(""), "phone": F.lit("1")}), ["name", "phone"]).first()
+    assert got.name is None and got.phone == "1"
+
+
+def test_parsing_streams_to_parquet(spark, tmp_path):
+    from tambon.operators.engine import AddressEngine
+    from tambon.streaming import parse_stream
+
+    places = spark.createDataFrame([("นาดี", "บ้านสุข", "ลำธาร", "61110", 0)], "subdistrict string, district string, province string, zipcode string, location_id int")
+    rows = spark.createDataFrame([("คุณมาลัย\n0899990001\nต.นาดี อ.บ้านสุข จ.ลำธาร 61110",)], "raw string")
+    rows.write.parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema(rows.schema).parquet(f"{tmp_path}/in")
+    parse_stream(AddressEngine(places), stream, f"{tmp_path}/out", f"{tmp_path}/state", once=True).awaitTermination(60)
+    assert spark.read.parquet(f"{tmp_path}/out").first().phone == "0899990001"
+
+
+def test_core_queries_survive_an_llm_that_cannot_be_imported(monkeypatch):
+    import sys
+
+    import __spark_entry__ as entry
+
+    monkeypatch.setitem(sys.modules, "corpus_pipeline", None)
+    assert "parse_messages" in entry.queries() and not any(n.startswith("op") for n in entry.queries())
