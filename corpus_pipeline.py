@@ -15,7 +15,7 @@ STAGES = [
     ("best_fit_packing", packing.pack_stage),
 ]
 
-#: SQL can't express models, signatures or tokenizers; the tests hold the stages against brute force.
+#: SQL can't express models, signatures or tokenizers. The tests hold near-duplicates against brute force and the language model against its formula, and run every stage on odd and empty tables.
 ORACLE_SQL = None
 
 
