@@ -73,6 +73,24 @@ def test_elias_fano(values):
     assert e.all().tolist() == values == [e.select(i) for i in range(len(values))]
 
 
+def test_encoder_equals_the_library():
+    import random
+
+    from tokenizers import Tokenizer
+
+    from tambon.llm.wordpiece import Encoder, tokenizer_file
+
+    r, latin = random.Random(5), [chr(c) for c in range(256)]
+    mixed = [*latin, *"ab \u0301.,'ſŁłΣσβ", "日", "ไ", "'s", "'re", "<|", "\u200b"]
+    texts = ["".join(r.choice(some) for _ in range(r.randrange(60))) for some in (latin, mixed, "aAéÉ.,'sdD1 ½²\n\txß\xa0") for _ in range(400)]
+    texts += ["", None, "y" * 3000, "a," * 900, "CAN'T 'S we'LL ''s x's.", "<|endoftext|> x", "a\x1cb", "Straße ẞ µ ª º", "été É. 12,345.67"]
+    library = Tokenizer.from_file(tokenizer_file())
+    want = [np.array(library.encode(t or "", add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    encoder = Encoder(tokenizer_file())
+    assert encoder.encode(texts) == want
+    assert encoder.encode(texts) == want  # from its caches
+
+
 def test_packing(spark):
     from tambon.llm import packing as m
     from tambon.llm.wordpiece import tokenizer_file
