@@ -451,6 +451,44 @@ def test_quotations(spark):
     assert got[2, 0].parent_turn is None and got[1, 4].text is None and got[None, 0].parent_turn is None
 
 
+def test_quotations_against_brute_force(spark):
+    import random
+
+    from tambon.llm import quotations as m
+
+    r, lines = random.Random(3), ["Yes.", "See you at the station tomorrow.", "No, thank you very much.", "Where is it?"]
+    rows = []
+    for conv in (1, 2, 3):
+        for turn in sorted(r.sample(range(5000), 150)):
+            quote = "".join(f"> {line}\n" for line in r.sample(lines, r.randrange(3)))
+            rows.append((conv, turn, "user", quote + "\n".join([f"text {conv} {turn}", *r.sample(lines, r.randrange(2))])))
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = {(x.conv_id, x.turn): x for x in m.link(df).collect()}
+    own = {(c, t): (m.passages(x)[0], m.passages(x)[1]) for c, t, _, x in rows}
+    paths = {}
+    for (conv, turn), (_, quotes) in sorted(own.items()):
+        found = [(level, i, short, -t) for i, (level, q) in enumerate(quotes) for h, short in m.hashes(q).items() for (c, t), (body, _) in own.items() if c == conv and t < turn and h in m.hashes(body)]
+        parent = -min(found)[3] if found else None
+        paths[conv, turn] = [*(paths[conv, parent] if found else []), turn]
+        assert (got[conv, turn].parent_turn, got[conv, turn].reply_path) == (parent, paths[conv, turn])
+    for conv in (1, 2, 3):
+        order = sorted((k for k in paths if k[0] == conv), key=paths.get)
+        assert [got[k].position for k in order] == list(range(len(order)))
+
+
+def test_quotations_on_empty_and_repeated_rows(spark):
+    from tambon.llm import quotations as m
+
+    kind = "conv_id long, turn long, role string, text string"
+    assert m.link(spark.createDataFrame([], kind)).count() == 0
+    rows = [(1, 0, "a", "The first of all lines."), (1, 0, "a", "The first of all lines."), (1, 1, "b", "> The first of all lines.\nok " + "long " * 50_000), (1, None, "b", "> The first of all lines."), (None, None, None, None), (None, 1, "a", "x")]
+    got = m.link(spark.createDataFrame(rows, kind)).collect()
+    assert sorted(x.position for x in got if x.conv_id) == [0, 1, 2, 3] and [x.position for x in got if x.conv_id is None] == [None, None]
+    assert [x.parent_turn for x in got if x.turn == 1 and x.conv_id] == [0]
+    one = spark.createDataFrame([(7, t, "a", f"line {t}") for t in range(4000)], kind).repartition(8)
+    assert sorted(x.position for x in m.link(one).select("turn", "position").where("turn = position").collect()) == list(range(4000))
+
+
 def test_pipeline_stages_keep_the_columns():
     import corpus_pipeline
 
