@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.thai_text import S
 from .kernel import FIELD
 
 FIELDS = tuple(FIELD.values())
@@ -49,13 +50,28 @@ def calibration(samples: DataFrame, confidence: str = "confidence", correct: str
     return binned.select("bin", "samples", (F.col("confidence_sum") / F.col("samples")).alias("mean_confidence"), (F.col("correct") / F.col("samples")).alias("accuracy"), (F.col("squares") / total).alias("brier_part"), (F.abs(F.col("confidence_sum") - F.col("correct")) / total).alias("ece_part"))
 
 
-def funnel(parsed: DataFrame, gold: str = "gold_") -> DataFrame:
-    """Per field: records that expect a value, reach it with some candidate, select it, accept it. Needs full diagnostics."""
-    wanted = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.lit(LABEL[f]).alias("label"), F.col(gold + f).alias("value")) for f in FIELDS])).alias("w")
-    rows = parsed.select("trace", wanted).where("w.value is not null").withColumn("hits", F.filter("trace", lambda c: (c["label"] == F.col("w.label")) & (c["canonical"] == F.col("w.value"))))
+def funnel(parsed: DataFrame, gold: str = "gold_", normal: str | None = None, spans: str | None = None) -> DataFrame:
+    """Per field: records that expect a value, reach it with some candidate, select it, accept it. Needs full diagnostics.
+
+    A value is reached by a candidate of its canonical form. With `spans` (gold spans, offsets as in the trace), a name or an address detail that has a span is
+    reached by a candidate at exactly that span, white space at its ends aside. Either way `normalization_reachable` counts those whose value in the
+    columns `normal` (by default as `gold`) some candidate has as its canonical form.
+    """
+    wanted = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.lit(LABEL[f]).alias("label"), F.col(gold + f).alias("value"), F.col((normal or gold) + f).alias("normal")) for f in FIELDS])).alias("w")
+    rows = parsed.select("trace", wanted, *[spans] * bool(spans)).where("w.value is not null")
+    mine = F.filter("trace", lambda c: c["label"] == F.col("w.label"))
+    canonical = F.filter(mine, lambda c: c["canonical"] == F.col("w.normal"))
+    hits = canonical
+    if spans:
+        span = F.get(F.filter(spans, lambda s: F.col("w.label").isin("NAME", "ADDRESS_DETAIL") & (s["label"] == F.col("w.label"))), F.lit(0))
+        before = F.length(F.regexp_extract(span["text"], rf"^[{S}]*", 0))
+        after = F.when(before == F.length(span["text"]), 0).otherwise(F.length(F.regexp_extract(span["text"], rf"[{S}]*\z", 0)))
+        rows = rows.withColumns({"_start": span["start"] + before, "_end": span["end"] - after})
+        hits = F.when(F.col("_start").isNull(), canonical).otherwise(F.filter(mine, lambda c: (c["start"] == F.col("_start")) & (c["end"] == F.col("_end"))))
+    rows = rows.withColumns({"hits": hits, "alike": F.size(canonical) > 0})
     some = lambda *outcomes: F.sum(F.exists("hits", lambda c: c["outcome"].isin(*outcomes)).cast("long"))
-    counts = rows.groupBy(F.col("w.field").alias("field")).agg(F.count("*").alias("expected"), F.sum((F.size("hits") > 0).cast("long")).alias("reachable"), some("accepted", "abstained").alias("selected"), some("accepted").alias("accepted"))
-    return counts.withColumns({f"{c}_rate": _share(F.col(c), F.col("expected")) for c in ("reachable", "selected", "accepted")})
+    counts = rows.groupBy(F.col("w.field").alias("field")).agg(F.count("*").alias("expected"), F.sum((F.size("hits") > 0).cast("long")).alias("reachable"), F.sum(F.col("alike").cast("long")).alias("normalization_reachable"), some("accepted", "abstained").alias("selected"), some("accepted").alias("accepted"))
+    return counts.withColumns({f"{c}_rate": _share(F.col(c), F.col("expected")) for c in ("reachable", "normalization_reachable", "selected", "accepted")})
 
 
 def histograms(parsed: DataFrame) -> DataFrame:

@@ -95,7 +95,7 @@ def candidate_trace(spark, sf_dir):
 def _funnel_sql() -> str:
     reachable = {f: "count(zipcode)" if f == "zipcode" else "count(*)" for f in FIELDS}  # a misspelt province has its candidate, whether it is chosen or not
     rates = lambda x: f"cast({x} as double) / count(*)"
-    return " union all ".join(f"select '{f}' as field, count(*) as expected, {reachable[f]} as reachable, count({f}) as selected, count({f}) as accepted, {rates(reachable[f])} as reachable_rate, {rates(f'count({f})')} as selected_rate, {rates(f'count({f})')} as accepted_rate from ({FOUND}) x" for f in FIELDS)
+    return " union all ".join(f"select '{f}' as field, count(*) as expected, {reachable[f]} as reachable, {reachable[f]} as normalization_reachable, count({f}) as selected, count({f}) as accepted, {rates(reachable[f])} as reachable_rate, {rates(reachable[f])} as normalization_reachable_rate, {rates(f'count({f})')} as selected_rate, {rates(f'count({f})')} as accepted_rate from ({FOUND}) x" for f in FIELDS)
 
 
 @query(_funnel_sql())

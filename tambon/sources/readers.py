@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.thai_text import S, squeeze_column, strip_column
@@ -39,8 +39,10 @@ def parsed_records(lines: DataFrame, value: str = "value") -> DataFrame:
 
 
 def strict(records: DataFrame) -> DataFrame:
-    """Fails on the first record with a problem."""
-    return records.withColumn("problem", F.when(F.col("problem").isNotNull(), F.raise_error(F.concat_ws(": ", F.coalesce("id", F.lit("?")), "problem")).cast("string")))
+    """Fails on the first record with a problem, whatever columns are read; names its line where there is a column `line`."""
+    where = [F.concat(F.lit("line "), F.col("line").cast("string"))] * ("line" in records.columns)
+    said = F.concat_ws(": ", *where, F.coalesce("id", F.lit("?")), "problem")
+    return records.where(F.assert_true(F.col("problem").isNull(), said).isNull())
 
 
 def _has(label: str):
@@ -56,10 +58,31 @@ def surface_gold(records: DataFrame) -> DataFrame:
     return out
 
 
+def numbered_lines(spark: SparkSession, *paths: str) -> DataFrame:
+    """Text files as (value, file, line), lines from 1, without reading a file in one task.
+
+    Files are read in splits, whose rows are numbered as they come; a split's first line follows from the number of lines of
+    the file's splits before it, a table of a row for each split.
+    """
+    rows = spark.read.text(list(paths)).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_split"), F.monotonically_increasing_id().alias("_at"))
+    splits = rows.groupBy("file", "_split").agg(F.min("_at").alias("_first"), F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy("file").orderBy("_split").rowsBetween(Window.unboundedPreceding, -1))
+    return rows.join(splits.withColumn("_before", F.coalesce(before, F.lit(0))), ["file", "_split"]).select("value", "file", (F.col("_before") + F.col("_at") - F.col("_first") + 1).alias("line"))
+
+
 def read_records(spark: SparkSession, *paths: str) -> DataFrame:
-    """Annotated messages of several files, tagged with `family` (the file), with gold from surfaces; a bad record stops the read when it is reached."""
-    lines = spark.read.text(list(paths)).withColumn("family", F.regexp_extract(F.input_file_name(), r"([^/]+?)(?:\.[^./]*)?$", 1))
-    return surface_gold(strict(parsed_records(lines)))
+    """Annotated messages of several files, tagged with `family` (the file), with gold from surfaces.
+
+    An id that occurs twice, in a file or across files, is refused at once; a bad record stops the read when it is reached. Errors name the line.
+    """
+    if not paths:
+        raise ValueError("at least one file is needed")
+    records = parsed_records(numbered_lines(spark, *paths))
+    again = records.where("id is not null").groupBy("id").agg(F.count("*").alias("n"), F.max(F.struct("file", "line")).alias("last")).where("n > 1").first()
+    if again:
+        raise ValueError(f"{again['last']['file']}, line {again['last']['line']}: duplicate id {again['id']}")
+    family = F.regexp_extract("file", r"([^/]+?)(?:\.[^./]*)?$", 1)
+    return surface_gold(strict(records.withColumn("family", family)).drop("file", "line"))
 
 
 def duplicate_ids(rows: DataFrame, key: str) -> DataFrame:
@@ -83,8 +106,6 @@ def gazetteer(names: DataFrame, name: str = "name", order: str = "position") ->
 
 def numbered(rows: DataFrame) -> DataFrame:
     """Distinct (subdistrict, district, province, zipcode) with location_id in order of _at: a dimension, small enough for one task to number."""
-    from pyspark.sql import Window
-
     first = rows.groupBy("subdistrict", "district", "province", "zipcode").agg(F.min("_at").alias("_at"))
     return first.withColumn("location_id", (F.row_number().over(Window.orderBy("_at")) - 1).cast("int")).drop("_at")
 

@@ -87,6 +87,67 @@ def test_records_are_checked(spark):
     assert rows[0].expected.name == "a" and rows[0].normalization_expected.name == "z"
 
 
+RECORD = '{"id":"%s","raw":"ab","caseType":"c","difficulty":"d","spans":[{"label":"NAME","text":"a","start":0,"end":1,"codePointStart":0,"codePointEnd":1}],"expected":{"name":"z"},"seedLocation":{"subdistrict":"a","district":"b","province":"c","zipcode":"1"}}'
+
+
+def test_lines_are_numbered_over_splits(spark, tmp_path):
+    from tambon.sources import readers
+
+    for name, n in (("a", 3000), ("b", 1), ("c", 500)):
+        (tmp_path / f"{name}.txt").write_text("".join(f"{name}{i + 1}\n" + "\n" * (i % 7 == 0) for i in range(n)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1k")
+    try:
+        got = readers.numbered_lines(spark, *(str(tmp_path / f"{x}.txt") for x in "abc")).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    want = {(x, i + 1, line) for x in "abc" for i, line in enumerate((tmp_path / f"{x}.txt").read_text().split("\n")[:-1])}
+    assert {(r.file[-5], r.line, r.value) for r in got} == want and len(got) == len(want)
+
+
+def test_reading_records_names_lines_and_refuses_repeated_ids(spark, tmp_path):
+    from tambon.sources import readers
+
+    def read(**files):
+        for name, lines in files.items():
+            (tmp_path / f"{name}.jsonl").write_text("\n".join(lines))
+        return readers.read_records(spark, *(str(tmp_path / f"{name}.jsonl") for name in files))
+
+    good = [RECORD % i for i in range(4)]
+    got = read(one=[good[0], "", good[1]], two=good[2:]).collect()
+    assert sorted((r.id, r.family, r.expected.name) for r in got) == [("0", "one", "a"), ("1", "one", "a"), ("2", "two", "a"), ("3", "two", "a")]
+    with pytest.raises(ValueError, match="line 3: duplicate id 0"):
+        read(one=[good[0], "", good[0]])
+    with pytest.raises(ValueError, match="duplicate id 1"):
+        read(one=good[:2], two=[good[1]])
+    for bad, said in ((good[1].replace('"c","difficulty"', '"c","hard"'), "line 3: 1: a required text is missing"), ("{", "line 3: .: a required text is missing")):
+        with pytest.raises(Exception, match=said):
+            read(one=[good[0], "", bad]).select("family").collect()
+    with pytest.raises(ValueError, match="at least one"):
+        readers.read_records(spark)
+
+
+def test_funnel_by_spans_and_by_canonical_forms(spark):
+    from tambon.operators import metrics
+
+    fields = {f: None for f in metrics.FIELDS}
+    hit = lambda label, start, end, canonical, outcome: (label, start, end, canonical, outcome)
+    rows = [
+        # The span " ann " without its white space is where a candidate stands, whose canonical form is another.
+        ([("NAME", " ann ", 0, 5)], [hit("NAME", 1, 4, "Ann", "accepted"), hit("PHONE", 6, 9, "081", "pruned")], {"name": "ann", "phone": "081"}, {"name": "Ann", "phone": "081"}),
+        # A candidate of the right form elsewhere counts for the form only.
+        ([("NAME", "bob", 0, 3)], [hit("NAME", 4, 7, "bob", "abstained")], {"name": "bob"}, {"name": "bob"}),
+        # Without a span the form decides; without an expected value nothing counts.
+        ([("NAME", "   ", 0, 3)], [hit("NAME", 4, 7, "c", "accepted"), hit("PHONE", 8, 9, "1", "abstained")], {"phone": "1"}, {"name": "c", "phone": "1"}),
+    ]
+    flat = [(spans, trace, *(fields | gold).values(), *(fields | normal).values()) for spans, trace, gold, normal in rows]
+    kinds = "spans array<struct<label:string,text:string,start:int,end:int>>, trace array<struct<label:string,start:int,end:int,canonical:string,outcome:string>>, " + ", ".join(f"{p}{f} string" for p in ("gold_", "form_") for f in fields)
+    df = spark.createDataFrame(flat, kinds)
+    got = {r.field: (r.expected, r.reachable, r.normalization_reachable, r.selected, r.accepted) for r in metrics.funnel(df, normal="form_", spans="spans").collect()}
+    assert got == {"name": (2, 1, 2, 1, 1), "phone": (2, 2, 2, 1, 0)}
+    plain = {r.field: (r.expected, r.reachable, r.normalization_reachable) for r in metrics.funnel(df).collect()}
+    assert plain == {"name": (2, 1, 1), "phone": (2, 2, 2)}
+
+
 def test_recipient_blocks(spark):
     from tambon.sources import readers
 
