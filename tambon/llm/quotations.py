@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import only, read_table, stored
+from .shared import dropped, only, read_table, stored
 
 LEAST = 8
 SPAN = 1024
@@ -107,7 +107,7 @@ def _latest(wanted: DataFrame, owners: DataFrame) -> DataFrame:
 
 
 def _positions(rows: DataFrame) -> DataFrame:
-    """`rows` (stored) with `position`, the place of each in its conversation by reply_path, from 0."""
+    """`rows` (a stored table, which goes) with `position`, the place of each in its conversation by reply_path, from 0."""
     spark, names = rows.sparkSession, rows.columns
     keys = [F.col("conv_id"), F.col("reply_path"), F.xxhash64("role", "text")]
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
@@ -128,6 +128,7 @@ def _positions(rows: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(len(at), part, np.int32)), pa.array(local)], names=[*names, "_part", "_local"])
 
     ordered = stored(rows.repartitionByRange(*keys).sortWithinPartitions(*keys).mapInArrow(ranked, f"{fields}, _part int, _local long"), "ordered")
+    dropped(rows)
     heights = ordered.where("conv_id is not null").groupBy("conv_id", "_part").agg((F.max("_local") + 1).alias("n"))
     # Only a conversation across a border of two partitions has several parts: fewer than two rows a partition.
     several = heights.groupBy("conv_id").agg(F.collect_list(F.struct("_part", "n")).alias("parts")).where("size(parts) > 1")
@@ -165,7 +166,9 @@ def link(messages: DataFrame) -> DataFrame:
     out = parsed.join(linked, ["conv_id", "turn"], "left")
     path = F.coalesce("path", F.array("turn"))
     replies = out.select("conv_id", "turn", "role", "text", F.size(F.array_distinct(F.transform("quotes", lambda q: q["place"]))).alias("n_quotes"), "parent_turn", F.coalesce("top", "turn").alias("thread_turn"), (F.size(path) - 1).alias("depth"), path.alias("reply_path"))
-    return _positions(stored(replies, "replies"))
+    replies = stored(replies, "replies")
+    dropped(parsed)
+    return _positions(replies)
 
 
 def op1_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
