@@ -141,10 +141,11 @@ def recipient_records(blocks: DataFrame) -> DataFrame:
 
 def supplemented(blocks: DataFrame, supplement: DataFrame) -> DataFrame:
     """Blocks without labelled lines, with the expected fields that `supplement` (raw, ...) has for exactly that text; fails at a block that it doesn't have."""
-    labelled = recipient_records(blocks).select("raw").distinct()
-    rest = blocks.join(labelled, "raw", "left_anti")
-    joined = rest.join(supplement.withColumn("_there", F.lit(True)), "raw", "left")
-    return joined.where(F.assert_true(F.col("_there").isNotNull(), F.concat(F.lit("no annotation of block "), F.col("number").cast("string"))).isNull()).drop("_there")
+    labelled = recipient_records(blocks).select("raw").distinct().withColumn("_labelled", F.lit(True))
+    joined = blocks.join(labelled, "raw", "left").join(supplement.withColumn("_there", F.lit(True)), "raw", "left")
+    there = F.assert_true(F.col("_there").isNotNull(), F.concat(F.lit("no annotation of block "), F.col("number").cast("string"))).isNull()
+    # One condition, so that the check is never moved ahead of leaving labelled blocks out.
+    return joined.where(F.when(F.col("_labelled"), F.lit(False)).otherwise(there)).drop("_there", "_labelled")
 
 
 def write_report(rows: DataFrame, path: str) -> None:
