@@ -8,6 +8,8 @@ import math
 import re
 import unicodedata
 from dataclasses import asdict, dataclass, field, fields
+from functools import lru_cache
+from itertools import repeat
 
 import numpy as np
 
@@ -99,6 +101,7 @@ def fnv1a(text: str) -> int:
     return h
 
 
+@lru_cache(maxsize=1 << 17)  # most n-grams and all other features recur from message to message
 def slot(feature: str, dimension: int) -> tuple[int, int]:
     h = fnv1a(feature)
     return h % dimension, -1 if h >> 31 else 1
@@ -165,8 +168,7 @@ def candidate_names(scan, seed, r: Resources) -> set[str]:
 
 def candidate_features(scan, seed, r: Resources) -> dict[int, int]:
     out: dict[int, int] = {}
-    for name in candidate_names(scan, seed, r):
-        at, sign = slot(name, r.dimension)
+    for at, sign in map(slot, candidate_names(scan, seed, r), repeat(r.dimension)):
         out[at] = out.get(at, 0) + sign
     return {k: out[k] for k in sorted(out) if out[k]}
 

@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+import os
+import struct
+import tempfile
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from .kernel import FIELD, Gazetteer, Parser
 from .scoring import LABELS, Resources, candidate_features, logit, sigmoid, span_features
@@ -83,73 +89,120 @@ def fit_contrast(records: DataFrame, places: list[dict], r: Resources, negatives
 def fit_pairwise(records: DataFrame, places: list[dict], r: Resources, epochs: int = 6, rate: float = 0.04, l2: float = 1e-5, negatives: int = 8) -> dict:
     """Logistic descent on pairs (right, wrong), with an empty option for absent fields; evidence is the fixed part of the margin.
 
-    From (id, raw, spans, weight). Candidates are generated and hashed once, distributed. The updates themselves depend on their order, so each label's
-    examples are replayed in the order of ids by one task per label: what is gathered there are hashed examples of labelled training records.
+    From (id, raw, spans, weight). Candidates are generated and hashed once, distributed, and packed as one row per record and label. The updates themselves
+    depend on their order, so each label's examples are replayed in the order of ids by one task per label, which holds one record at a time: sorted examples
+    are written to a local file as they come, and each epoch reads it through.
     """
     if r.features != "candidate-hash-v3" or r.scoring != "residual-rank-v2":
         raise ValueError("pairwise fitting requires candidate-hash-v3 and residual-rank-v2")
     if not (epochs > 0 and rate > 0 and l2 >= 0 and negatives > 0):
         raise ValueError("epochs, rate and negatives must be positive, l2 non-negative")
     active = [x for x in LABELS if r.by_label.get(x, 0) > 0]
+    if not active:
+        return {}
+    made = T.StructType([T.StructField("label", T.IntegerType()), T.StructField("id", records.schema["id"].dataType), *T._parse_datatype_string("weight double, packed binary")])
+    made_arrow, fitted = to_arrow_schema(made), "label int, vector array<double>, bias double"
 
-    def examples(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parser = Parser(Gazetteer(places))
         for batch in batches:
             rows = []
-            for row in batch.itertuples():
-                if not row.weight:
+            for row in batch.to_pylist():
+                if not row["weight"]:
                     continue
-                scan, seeds, _ = parser.seeds(row.raw)
-                for label in active:
-                    gold = next((s for s in row.spans if s["label"] == label), None)
-                    span = gold and _trim(row.raw, gold["start"], gold["end"])
+                scan, seeds, _ = parser.seeds(row["raw"])
+                for n, label in enumerate(active):
+                    gold = next((s for s in row["spans"] if s["label"] == label), None)
+                    span = gold and _trim(row["raw"], gold["start"], gold["end"])
                     mine = [s for s in seeds if s.label == label]
                     right = [s for s in mine if span and (s.start, s.end) == span]
                     wrong = sorted((s for s in mine if not span or (s.start, s.end) != span), key=lambda s: -s.evidence)[:negatives]
-                    if span and not right:
-                        continue
-                    for k, (side, s) in enumerate([*((1, s) for s in right), *((0, s) for s in wrong)]):
-                        x = candidate_features(scan, s, r)
-                        rows.append((label, row.id, k, side, float(row.weight), logit(s.evidence), list(x), [float(v) for v in x.values()]))
-            yield pd.DataFrame(rows, columns=["label", "id", "k", "side", "weight", "base", "idx", "val"])
-
-    def replay(group: pd.DataFrame) -> pd.DataFrame:
-        w, bias = np.zeros(r.dimension), 0.0
-        by_record = [g.sort_values("k") for _, g in group.sort_values("id").groupby("id", sort=True)]
-
-        def update(right, wrong, step) -> None:
-            nonlocal bias
-            sides = [(x, sign) for x, sign in ((right, 1.0), (wrong, -1.0)) if x is not None]
-            presence = sum(sign for _, sign in sides)
-            margin = bias * presence + sum(sign * (x.base + float(np.dot(w[x.idx], x.val))) for x, sign in sides)
-            pull = sigmoid(-margin)
-            delta: dict[int, float] = {}
-            for x, sign in sides:
-                for i, v in zip(x.idx, x.val, strict=True):
-                    delta[i] = delta.get(i, 0.0) + sign * v
-            for i, d in delta.items():
-                w[i] += step * (pull * d - l2 * w[i])
-            bias += step * pull * presence
+                    shown = [*right, *wrong]
+                    if shown and (right or not span):
+                        packed = _pack([candidate_features(scan, s, r) for s in shown], [logit(s.evidence) for s in shown], len(right))
+                        rows.append({"label": n, "id": row["id"], "weight": row["weight"], "packed": packed})
+            yield pa.RecordBatch.from_pylist(rows, schema=made_arrow)
 
+    def replay(held) -> tuple[np.ndarray, float]:
+        w, bias = np.zeros(r.dimension), 0.0
         for epoch in range(epochs):
-            for record in by_record:
-                rows = list(record.itertuples())
-                right, wrong = [x for x in rows if x.side], [x for x in rows if not x.side]
-                step = rate / np.sqrt(epoch + 1) * rows[0].weight
-                for a in right:
-                    update(a, None, step)
-                    for b in wrong:
-                        update(a, b, step)
-                if not right:
-                    for b in wrong:
-                        update(None, b, step)
-        return pd.DataFrame({"label": [group.label.iloc[0]], "vector": [w.tolist()], "bias": [bias]})
-
-    made = records.select("id", "raw", "spans", "weight").mapInPandas(examples, "label string, id long, k int, side int, weight double, base double, idx array<int>, val array<double>")
-    found = {x.label: (np.array(x.vector), x.bias) for x in made.groupBy("label").applyInPandas(replay, "label string, vector array<double>, bias double").collect()}
+            held.seek(0)
+            while head := held.read(struct.calcsize(_HEAD)):
+                weight, size = struct.unpack(_HEAD, head)
+                presence, base, at, x, either = _unpack(held.read(size))
+                step, here = rate / np.sqrt(epoch + 1) * weight, w[at]
+                for pair, keep, push, fixed, sides in zip(x, 1 - step * l2 * either, step * x, base, presence, strict=True):
+                    pull = sigmoid(-(bias * sides + fixed + float(pair.dot(here))))
+                    here *= keep
+                    here += pull * push
+                    bias += step * pull * sides
+                w[at] = here
+        return w, float(bias)
+
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def done() -> pa.RecordBatch:
+            vector, bias = replay(held)
+            return pa.RecordBatch.from_arrays([pa.array([label], pa.int32()), pa.array([vector.tolist()], pa.list_(pa.float64())), pa.array([bias])], names=["label", "vector", "bias"])
+
+        label = None
+        with tempfile.TemporaryFile(dir=os.environ.get("SPARK_LOCAL_DIRS", "").split(",")[0] or None) as held:
+            for batch in batches:
+                for other, weight, packed in zip(*(batch.column(c).to_pylist() for c in ("label", "weight", "packed")), strict=True):
+                    if other != label:
+                        if label is not None:
+                            yield done()
+                            held.seek(0)
+                            held.truncate()
+                        label = other
+                    held.write(struct.pack(_HEAD, weight, len(packed)))
+                    held.write(packed)
+            if label is not None:
+                yield done()
+
+    rows = _dealt(records.select("id", "raw", "spans", F.col("weight").cast("double").alias("weight"))).mapInArrow(examples, made)
+    rows = rows.repartitionById(len(active), F.col("label")).sortWithinPartitions("label", "id").select("label", "weight", "packed")
+    found = {active[x.label]: (np.array(x.vector), x.bias) for x in rows.mapInArrow(fit, fitted).collect()}
     return {label: found.get(label, (np.zeros(r.dimension), 0.0)) for label in active}
 
 
+def _dealt(records: DataFrame) -> DataFrame:
+    """Candidates of a record cost far more than moving it, and records may come in one small file: they are dealt over the cores, some tasks for each."""
+    spark = records.sparkSession
+    return records.repartition(max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+
+
+_HEAD = "<di"  # weight, packed bytes
+
+
+def _pack(features: list[dict[int, int]], base: list[float], rights: int) -> bytes:
+    """The updates of a record: differences of its candidates over the features that any of them has, and which of these either candidate has."""
+    at, column = np.unique(np.concatenate([np.fromiter(x, np.int32, len(x)) for x in features]), return_inverse=True)
+    x = np.zeros((len(features), len(at)))
+    x[np.repeat(np.arange(len(features)), [len(f) for f in features]), column] = np.concatenate([np.fromiter(f.values(), np.int32, len(f)) for f in features])
+    signs = _pairs(rights, len(features))
+    pairs = signs @ x
+    size = next(k for k in (1, 2, 4) if np.abs(pairs).max(initial=0) < 1 << 8 * k - 1)
+    either = (np.abs(signs) @ np.abs(x) > 0).astype(np.int8)
+    return b"".join((struct.pack("<iii", *pairs.shape, size), signs.sum(axis=1).astype("<f8").tobytes(), (signs @ base).astype("<f8").tobytes(), at.astype("<i4").tobytes(), pairs.astype(f"<i{size}").tobytes(), either.tobytes()))
+
+
+def _unpack(packed: bytes):
+    """Per update: sides by sign, fixed margin; the features' places; differences and presence as matrices."""
+    n, wide, size = struct.unpack_from("<iii", packed)
+    numbers, cells = np.frombuffer(packed, "<f8", 2 * n, 12).tolist(), 12 + 16 * n + 4 * wide
+    x = np.frombuffer(packed, f"<i{size}", n * wide, cells).astype(np.float64).reshape(n, wide)
+    return numbers[:n], numbers[n:], np.frombuffer(packed, "<i4", wide, 12 + 16 * n), x, np.frombuffer(packed, np.int8, n * wide, cells + size * n * wide).reshape(n, wide)
+
+
+@lru_cache(maxsize=1024)
+def _pairs(rights: int, n: int) -> np.ndarray:
+    """The updates of a record in order, as signs of its candidates: each right one against nothing and against each wrong one; without any, nothing against each wrong one."""
+    one = np.eye(n)
+    if not rights:
+        return -one
+    return np.array([x for a in one[:rights] for x in (a, *(a - b for b in one[rights:]))])
+
+
 def _trim(raw: str, start: int, end: int):
     from .kernel import trimmed
 
