@@ -9,7 +9,7 @@ import re
 import unicodedata
 from dataclasses import asdict, dataclass, field, fields
 from functools import lru_cache
-from itertools import repeat
+from itertools import accumulate, repeat
 
 import numpy as np
 
@@ -122,17 +122,47 @@ def grams(text: str, least: int, most: int):
 
 def span_features(raw: str, start: int, end: int, r: Resources) -> np.ndarray:
     """Dense: counted n-grams, shape and context, hashed with signs, of length one. Sums are in single precision, as in the data contract."""
-    text = unicodedata.normalize("NFC", raw[start:end])
-    weighted = [(f"g{len(g)}:{g}", 1.0) for g in grams(text, r.least_gram, r.most_gram)]
-    weighted.append((f"len:{min(32, len(text) // 2)}", 0.5))
-    weighted += [(name, w) for name, w, holds in (("shape:digit", 1.5, _digit.search(text)), ("shape:thai", 1.5, _thai.search(text)), ("shape:numeric", 2.0, _plain_numeric.match(text))) if holds]
-    weighted += [(f"left:{raw[max(0, start - 3) : start] or '<BOS>'}", 0.75), (f"right:{raw[end : end + 3] or '<EOS>'}", 0.75)]
-    vector = np.zeros(r.dimension, np.float32)
-    for name, weight in weighted:
-        at, sign = slot(name, r.dimension)
-        vector[at] += np.float32(sign * weight)
-    norm = float(np.sqrt((vector.astype(np.float64) ** 2).sum()))
-    return (vector / norm).astype(np.float32) if norm else vector
+    return span_matrix([raw], [(0, start, end)], r)[0]
+
+
+@lru_cache(maxsize=1 << 17)
+def gram_place(gram: str, dimension: int) -> int:
+    """The slot of an n-gram, beyond the dimension if its sign is negative."""
+    at, sign = slot.__wrapped__(f"g{len(gram)}:{gram}", dimension)
+    return at if sign > 0 else at + dimension
+
+
+def span_matrix(texts: list[str], spans: list[tuple[int, int, int]], r: Resources) -> np.ndarray:
+    """`span_features` of spans (number of the text, start, end), as rows: an n-gram is looked up once for all spans that hold it. Weights are quarters, so their sums are exact."""
+    d, n = r.dimension, len(spans)
+    base = "".join(texts)
+    if unicodedata.is_normalized("NFC", base):
+        before = [0, *accumulate(map(len, texts))]
+        places = [(before[k] + a, before[k] + b) for k, a, b in spans]
+    else:
+        parts = [unicodedata.normalize("NFC", texts[k][a:b]) for k, a, b in spans]
+        base, places = "".join(parts), [(e - len(x), e) for e, x in zip(accumulate(map(len, parts)), parts, strict=True)]
+    starts, ends = np.array([a for a, _ in places]), np.array([b for _, b in places])
+    first, last = int(starts.min(initial=len(base))), int(ends.max(initial=0))
+    rows, keys = np.arange(n) * 2 * d, []
+    for size in range(r.least_gram, r.most_gram + 1):
+        counts = np.maximum(ends - starts - size + 1, 0)
+        total = int(counts.sum())
+        if total:
+            codes = np.array([gram_place(base[i : i + size], d) for i in range(first, last - size + 1)])
+            keys.append(codes[np.arange(total) + np.repeat(starts - first - np.cumsum(counts) + counts, counts)] + np.repeat(rows, counts))
+    counted = np.bincount(np.concatenate(keys), minlength=2 * n * d).reshape(n, 2, d) if keys else np.zeros((n, 2, d), int)
+    vectors = (counted[:, 0] - counted[:, 1]).astype(np.float64)
+    for row, (a, b), (k, start, end) in zip(vectors, places, spans, strict=True):
+        raw, text = texts[k], base[a:b]
+        weighted = [(f"len:{min(32, len(text) // 2)}", 0.5), (f"left:{raw[max(0, start - 3) : start] or '<BOS>'}", 0.75), (f"right:{raw[end : end + 3] or '<EOS>'}", 0.75)]
+        weighted += [(name, w) for name, w, holds in (("shape:digit", 1.5, _digit.search(text)), ("shape:thai", 1.5, _thai.search(text)), ("shape:numeric", 2.0, _plain_numeric.match(text))) if holds]
+        for name, weight in weighted:
+            at, sign = slot(name, d)
+            row[at] += sign * weight
+    norms = np.sqrt(np.einsum("ij,ij->i", vectors, vectors))
+    norms[norms == 0] = 1.0
+    return vectors.astype(np.float32) / norms.astype(np.float32)[:, None]
 
 
 def bucket(distance: int | None) -> str:

@@ -9,7 +9,6 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -17,72 +16,108 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from .kernel import FIELD, Gazetteer, Parser
-from .scoring import LABELS, Resources, candidate_features, logit, sigmoid, span_features
+from .scoring import LABELS, Resources, candidate_features, logit, sigmoid, span_matrix
+
+
+#: Texts whose spans are made into vectors at once: enough to share the cost of a call, few enough for their vectors to stay small.
+TEXTS_AT_ONCE = 64
 
 
 def _unit(v: np.ndarray) -> np.ndarray:
     return v / (np.linalg.norm(v) or 1.0)
 
 
-def _vectors(sums: DataFrame, dimension: int, *keys: str) -> dict:
-    """(keys..., idx, value) collected as dense vectors: labels times dimension at most."""
+def _vectors(sums: list, dimension: int, *keys: str) -> dict:
+    """Rows (keys..., idx, value) as dense vectors: labels times dimension at most."""
     out: dict = {}
-    for r in sums.collect():
+    for r in sums:
         out.setdefault(tuple(r[k] for k in keys), np.zeros(dimension))[r.idx] = r.value
     return out
 
 
-def _sparse(vector: np.ndarray, weight: float, *key):
-    at = np.flatnonzero(vector)
-    return [(*key, int(i), float(vector[i]) * weight) for i in at]
+def _sums(vectors: np.ndarray, weights: np.ndarray, keys: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    """What a task adds: a row for each key and slot, its summed value; weights go as slot -1."""
+    rows = [(*key, -1, float(weights[k])) for k, key in enumerate(keys) if weights[k]]
+    rows += [(*keys[k], int(i), float(vectors[k, i])) for k, i in zip(*np.nonzero(vectors), strict=True)]
+    return pa.RecordBatch.from_pylist([dict(zip(schema.names, x, strict=True)) for x in rows], schema=schema)
 
 
 def fit_centroids(records: DataFrame, r: Resources, other_as_negative: bool = False) -> dict:
-    """From (raw, spans[label, start, end], weight): per label, the weighted mean of its spans less that of the others, of length one."""
-
-    def explode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """From (raw, spans[label, start, end], weight): per label, the weighted mean of its spans less that of the others, of length one. Each task adds up its records, so labels times dimension rows of it move."""
+    labels = (*LABELS, *(("OTHER",) if other_as_negative else ()))
+    row_of = {label: k for k, label in enumerate(labels)}
+    schema = "label string, idx int, value double"
+    arrow = to_arrow_schema(T._parse_datatype_string(schema))
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vectors, weights = np.zeros((len(labels), r.dimension)), np.zeros(len(labels))
         for batch in batches:
-            rows = []
-            for raw, spans, weight in zip(batch.raw, batch.spans, batch.weight, strict=True):
-                for s in spans:
-                    if weight and (s["label"] in LABELS or other_as_negative and s["label"] == "OTHER"):
-                        rows += [(s["label"], -1, float(weight)), *_sparse(span_features(raw, s["start"], s["end"], r), weight, s["label"])]
-            yield pd.DataFrame(rows, columns=["label", "idx", "value"])
-
-    sums = records.select("raw", "spans", "weight").mapInPandas(explode, "label string, idx int, value double").groupBy("label", "idx").agg(F.sum("value").alias("value"))
-    weights = {x.label: x.value for x in sums.where("idx < 0").collect()}
-    vectors = {k[0]: v for k, v in _vectors(sums.where("idx >= 0"), r.dimension, "label").items()}
+            for at in range(0, batch.num_rows, TEXTS_AT_ONCE):
+                part = batch.slice(at, TEXTS_AT_ONCE)
+                texts, found, shares = part.column("raw").to_pylist(), [], []
+                for k, (spans, weight) in enumerate(zip(part.column("spans").to_pylist(), part.column("weight").to_pylist(), strict=True)):
+                    if weight:
+                        for s in spans:
+                            if s["label"] in row_of:
+                                found.append((k, s["start"], s["end"]))
+                                shares.append((row_of[s["label"]], weight))
+                if found:
+                    dealt = np.zeros((len(labels), len(found)))
+                    dealt[[k for k, _ in shares], range(len(found))] = [weight for _, weight in shares]
+                    vectors += dealt @ span_matrix([x or "" for x in texts], found, r)
+                    weights += dealt.sum(axis=1)
+        yield _sums(vectors, weights, [(label,) for label in labels], arrow)
+
+    rows = _dealt(records.select("raw", "spans", F.col("weight").cast("double").alias("weight")))
+    sums = rows.mapInArrow(add, schema).groupBy("label", "idx").agg(F.sum("value").alias("value")).collect()
+    weights = {x.label: x.value for x in sums if x.idx < 0}
+    vectors = {k[0]: v for k, v in _vectors([x for x in sums if x.idx >= 0], r.dimension, "label").items()}
     whole, total = sum(vectors.values(), np.zeros(r.dimension)), sum(weights.values())
     return {label: (_unit(vectors[label] / weights[label] - (whole - vectors[label]) / (total - weights[label])), 0.0) for label in LABELS if 0 < weights.get(label, 0) < total}
 
 
 def fit_contrast(records: DataFrame, places: list[dict], r: Resources, negatives: int = 32) -> dict:
-    """From (raw, the seven expected fields, weight): the mean of right candidates less that of the strongest wrong ones; a record's weight is shared among its candidates."""
+    """From (raw, the seven expected fields, weight): the mean of right candidates less that of the strongest wrong ones; a record's weight is shared among its candidates. Each task adds up its records."""
     if negatives <= 0:
         raise ValueError("negatives must be positive")
 
-    def explode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    keys = [(label, side) for label in LABELS for side in (0, 1)]
+    schema = "label string, side int, idx int, value double"
+    arrow = to_arrow_schema(T._parse_datatype_string(schema))
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parser = Parser(Gazetteer(places))
+        vectors, weights = np.zeros((len(keys), r.dimension)), np.zeros(len(keys))
         for batch in batches:
-            rows = []
-            for row in batch.itertuples():
-                scan, seeds, _ = parser.seeds(row.raw)
+            for row in batch.to_pylist():
+                if not row["weight"]:
+                    continue
+                scan, seeds, _ = parser.seeds(row["raw"])
                 parser.score(scan, seeds)
-                for label in LABELS:
-                    expected = getattr(row, FIELD[label])
+                groups = []
+                for n, label in enumerate(LABELS):
+                    expected = row[FIELD[label]]
                     mine = [s for s in seeds if s.label == label]
-                    right = [s for s in mine if s.canonical == expected]
                     wrong = sorted((s for s in mine if s.canonical != expected), key=lambda s: (-s.evidence, -s.score))[:negatives]
-                    for side, group in ((1, right), (0, wrong)):
-                        if group and row.weight:
-                            rows.append((label, side, -1, float(row.weight)))
+                    groups += [(2 * n, wrong), (2 * n + 1, [s for s in mine if s.canonical == expected])]
+                at: dict[tuple, int] = {}
+                for _, group in groups:
+                    for s in group:
+                        at.setdefault((s.start, s.end), len(at))
+                if at:
+                    shares = np.zeros((len(keys), len(at)))
+                    for k, group in groups:
+                        if group:
+                            weights[k] += row["weight"]
                             for s in group:
-                                rows += _sparse(span_features(row.raw, s.start, s.end, r), row.weight / len(group), label, side)
-            yield pd.DataFrame(rows, columns=["label", "side", "idx", "value"])
-
-    sums = records.select("raw", "weight", *FIELD.values()).mapInPandas(explode, "label string, side int, idx int, value double").groupBy("label", "side", "idx").agg(F.sum("value").alias("value"))
-    weights = {(x.label, x.side): x.value for x in sums.where("idx < 0").collect()}
-    v = _vectors(sums.where("idx >= 0"), r.dimension, "label", "side")
+                                shares[k, at[s.start, s.end]] += row["weight"] / len(group)
+                    vectors += shares @ span_matrix([row["raw"]], [(0, *span) for span in at], r)
+        yield _sums(vectors, weights, keys, arrow)
+
+    rows = _dealt(records.select("raw", F.col("weight").cast("double").alias("weight"), *FIELD.values()))
+    sums = rows.mapInArrow(add, schema).groupBy("label", "side", "idx").agg(F.sum("value").alias("value")).collect()
+    weights = {(x.label, x.side): x.value for x in sums if x.idx < 0}
+    v = _vectors([x for x in sums if x.idx >= 0], r.dimension, "label", "side")
     return {label: (_unit(v[label, 1] / weights[label, 1] - v[label, 0] / weights[label, 0]), 0.0) for label in LABELS if (label, 1) in weights and (label, 0) in weights}
 
 
@@ -213,7 +248,7 @@ def family_weights(records: DataFrame, family: str) -> DataFrame:
     """`records` with weight = n / (families * n of the family): families count alike. Families are few; the table of their sizes is broadcast."""
     sizes = records.groupBy(family).agg(F.count("*").alias("_mine"))
     total = sizes.agg(F.sum("_mine").alias("_n"), F.count("*").alias("_families"))
-    return records.join(sizes, family).crossJoin(F.broadcast(total)).withColumn("weight", F.col("_n") / (F.col("_families") * F.col("_mine"))).drop("_mine", "_n", "_families")
+    return records.join(F.broadcast(sizes), family).crossJoin(F.broadcast(total)).withColumn("weight", F.col("_n") / (F.col("_families") * F.col("_mine"))).drop("_mine", "_n", "_families")
 
 
 __all__ = ["family_weights", "fit_centroids", "fit_contrast", "fit_pairwise"]

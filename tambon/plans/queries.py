@@ -349,7 +349,10 @@ def family_balance(spark, sf_dir):
 
 
 def _training(spark, sf_dir) -> tuple[DataFrame, list[dict]]:
-    spans = F.array(*[F.struct(F.lit(label).alias("label"), (F.instr(F.col("raw"), F.col(f"gold_{f}")) - 1).alias("start"), (F.instr(F.col("raw"), F.col(f"gold_{f}")) - 1 + F.length(f"gold_{f}")).alias("end")) for label, f in FIELD.items()])
+    raw, zipcode = F.col("raw"), F.col("gold_zipcode")
+    starts = {f: F.instr(raw, F.col(f"gold_{f}")) - 1 for f in FIELDS}
+    starts["zipcode"] = F.when(raw.endswith(zipcode), F.length(raw) - F.length(zipcode)).otherwise(-1)  # its digits may stand within the phone too
+    spans = F.array(*[F.struct(F.lit(label).alias("label"), starts[f].alias("start"), (starts[f] + F.length(f"gold_{f}")).alias("end")) for label, f in FIELD.items()])
     rows = family_weights(messages(spark, sf_dir, False), "family")
     rows = rows.withColumn("spans", F.filter(spans, lambda s: s["start"] >= 0)).withColumns({f: F.col(f"gold_{f}") for f in FIELDS})
     places = [r.asDict() for r in gazetteer(spark, sf_dir).orderBy("location_id").drop("location_id").collect()]

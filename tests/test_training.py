@@ -71,3 +71,50 @@ def test_pairwise_updates_are_those_of_a_plain_loop(spark, frame):
     assert list(got) == list(want) and any(abs(x) > 0.01 for x in want["PHONE"][0])
     for label, (vector, bias) in got.items():
         assert vector.tolist() == pytest.approx(want[label][0], abs=1e-10) and bias == pytest.approx(want[label][1], abs=1e-10)
+
+
+MIX = Resources("c", 96, "char-ngram-v2", scoring="label-mix-v1")
+
+
+def unit(v):
+    return v / (v @ v) ** 0.5
+
+
+def close(got, want):
+    assert set(got) == set(want)
+    for label, vector in want.items():
+        assert got[label][0].tolist() == pytest.approx(vector.tolist(), abs=1e-6) and got[label][1] == 0
+
+
+def test_spans_of_several_texts_are_those_of_one(monkeypatch):
+    texts = ["คุณมาลัย\n0812345678 é", "é ก 12", "", "😀 ต.นาดี"]
+    spans = [(k, a, b) for k, x in enumerate(texts) for a in range(len(x) + 1) for b in range(a, len(x) + 1)]
+    for some in (spans, [x for x in spans if x[0] != 1]):
+        found = scoring.span_matrix([x if k != 1 or some is spans else "" for k, x in enumerate(texts)], some, MIX)
+        assert all((row == scoring.span_features(texts[k], a, b, MIX)).all() for row, (k, a, b) in zip(found, some, strict=True))
+    hashed, plain = [], scoring.fnv1a
+    monkeypatch.setattr(scoring, "fnv1a", lambda text: hashed.append(text) or plain(text))
+    scoring.span_matrix(["คุณแก้วตา"] * 9, [(k, 0, 8) for k in range(9)], Resources("c", 97, "char-ngram-v2", scoring="label-mix-v1"))
+    assert len(hashed) == len(set(hashed)) > 0
+
+
+def test_centroids_are_those_of_a_plain_loop(frame):
+    sums, weights = {}, {}
+    for _, raw, weight, spans, *_ in records():
+        for label, a, b in spans:
+            sums[label] = sums.get(label, 0) + weight * scoring.span_features(raw, a, b, MIX).astype(float)
+            weights[label] = weights.get(label, 0) + weight
+    whole, total = sum(sums.values()), sum(weights.values())
+    close(training.fit_centroids(frame, MIX), {x: unit(sums[x] / weights[x] - (whole - sums[x]) / (total - weights[x])) for x in sums})
+
+
+def test_the_postcode_of_a_training_record_is_not_taken_from_its_phone(spark, tmp_path):
+    from tambon.plans import queries
+
+    spark.createDataFrame([(100103, 10, "A"), (100105, 10, "A"), (100106, 10, "B")], "c_custkey long, c_nationkey int, c_mktsegment string").write.parquet(f"{tmp_path}/customer.parquet")
+    spark.createDataFrame([(10, "N", 0)], "n_nationkey int, n_name string, n_regionkey int").write.parquet(f"{tmp_path}/nation.parquet")
+    rows = {r.id: (r.raw, [(s.start, s.end) for s in r.spans if s.label == "POSTCODE"]) for r in queries._training(spark, str(tmp_path))[0].collect()}
+    assert all("10010" in raw[:40] for raw, _ in rows.values())
+    raw, found = rows[100103]
+    assert found == [(raw.rindex("10010"), len(raw))]
+    assert rows[100105][1] == rows[100106][1] == []  # written without a postcode, and with another one
