@@ -118,3 +118,39 @@ def test_the_postcode_of_a_training_record_is_not_taken_from_its_phone(spark, tm
     raw, found = rows[100103]
     assert found == [(raw.rindex("10010"), len(raw))]
     assert rows[100105][1] == rows[100106][1] == []  # written without a postcode, and with another one
+
+
+@pytest.mark.parametrize("negatives", [1, 32])
+def test_contrast_is_that_of_a_plain_loop(frame, negatives):
+    parser, sums, weights = Parser(Gazetteer(PLACES)), {}, {}
+    for _, raw, weight, _, *expected in records():
+        if not weight:
+            continue
+        scan, seeds, _ = parser.seeds(raw)
+        parser.score(scan, seeds)
+        for label, wanted in zip(FIELD, expected, strict=True):
+            mine = [s for s in seeds if s.label == label]
+            wrong = sorted((s for s in mine if s.canonical != wanted), key=lambda s: (-s.evidence, -s.score))[:negatives]
+            for side, group in ((1, [s for s in mine if s.canonical == wanted]), (0, wrong)):
+                if group:
+                    mean = sum(scoring.span_features(raw, s.start, s.end, MIX).astype(float) for s in group) / len(group)
+                    sums[label, side] = sums.get((label, side), 0) + weight * mean
+                    weights[label, side] = weights.get((label, side), 0) + weight
+    means = {k: v / weights[k] for k, v in sums.items()}
+    want = {label: unit(means[label, 1] - means[label, 0]) for label, side in means if side and (label, 0) in means}
+    assert {"NAME", "ADDRESS_DETAIL"} <= set(want)
+    close(training.fit_contrast(frame, PLACES, MIX, negatives=negatives), want)
+
+
+def test_a_task_sends_its_sums_not_its_records(spark, frame, monkeypatch):
+    sent, plain = spark.sparkContext.accumulator(0), training._sums
+    monkeypatch.setattr(training, "_dealt", lambda records: records.coalesce(1))
+
+    def counted(*args):
+        out = plain(*args)
+        sent.add(out.num_rows)
+        return out
+
+    monkeypatch.setattr(training, "_sums", counted)
+    training.fit_contrast(frame.unionByName(frame).unionByName(frame), PLACES, MIX)
+    assert 0 < sent.value <= 2 * len(FIELD) * (MIX.dimension + 1)
