@@ -31,7 +31,7 @@ STRUCTURED = (
     rf"ตำบล(?<subdistrict>[^\n\r\u2028\u2029]+?)[{S}]+อำเภอ(?<district>[^\n\r\u2028\u2029]+?)[{S}]+จังหวัด(?<province>[^\n\r\u2028\u2029]+?)[{S}]+(?<zipcode>[0-9]{{5}})(?=\Z|\n|\|)",
 )
 
-_trim = re.compile(rf"^[{S}]+|[{S}]+\Z")
+WHITE = "".join(re.findall(f"[{S}]", "".join(map(chr, range(0x10000)))))
 _spaces = re.compile(rf"[{S}]+")
 _ascii = str.maketrans(THAI_DIGITS, "0123456789")
 _not_digit = re.compile(r"[^0-9]")
@@ -42,7 +42,7 @@ def python_pattern(pattern: str) -> re.Pattern:
 
 
 def strip(text: str) -> str:
-    return _trim.sub("", text)
+    return text.strip(WHITE)
 
 
 def squeeze(text: str) -> str:
@@ -67,7 +67,7 @@ def canonical(label: str, text: str) -> str | None:
     text = strip(text)
     if not text:
         return None
-    return {"PHONE": phone, "POSTCODE": postcode}.get(label, squeeze)(text)
+    return phone(text) if label == "PHONE" else postcode(text) if label == "POSTCODE" else squeeze(text)
 
 
 # The same on columns.

@@ -9,7 +9,7 @@ import re
 import unicodedata
 from dataclasses import asdict, dataclass, field, fields
 from functools import lru_cache
-from itertools import accumulate, repeat
+from itertools import accumulate, pairwise, repeat
 
 import numpy as np
 
@@ -132,37 +132,83 @@ def gram_place(gram: str, dimension: int) -> int:
     return at if sign > 0 else at + dimension
 
 
+@lru_cache(maxsize=1 << 17)
+def window_places(window: str, least: int, most: int, dimension: int) -> bytes:
+    """For a position whose next `most` characters are `window`, as numbers of four bytes: the places of the n-grams that begin there (0 beyond the end of the text), and what its first character is: digit 1, Thai 2, of a number 4."""
+    places = [gram_place(window[:n], dimension) if n <= len(window) else 0 for n in range(least, most + 1)]
+    kinds = sum(bit for bit, pattern in ((1, _digit), (2, _thai), (4, _plain_numeric)) if pattern.match(window[0]))
+    return np.array([*places, kinds], np.int32).tobytes()
+
+
+@lru_cache(maxsize=64)
+def length_slots(dimension: int) -> tuple[np.ndarray, np.ndarray]:
+    at, signs = zip(*(slot(f"len:{k}", dimension) for k in range(33)), strict=True)
+    return np.array(at), np.array(signs)
+
+
 def span_matrix(texts: list[str], spans: list[tuple[int, int, int]], r: Resources) -> np.ndarray:
-    """`span_features` of spans (number of the text, start, end), as rows: an n-gram is looked up once for all spans that hold it. Weights are quarters, so their sums are exact."""
-    d, n = r.dimension, len(spans)
-    base = "".join(texts)
+    """`span_features` of spans (number of the text, start, end), as rows. The n-grams within a span are those that end by its end less those that begin before its start,
+    so they are summed up to each start and each end, not for each span. Weights are quarters, so their sums are exact."""
+    d, n, least, most = r.dimension, len(spans), r.least_gram, r.most_gram
+    base = "\n".join(texts)  # a mark between texts: the end of one is not the start of the next
     if unicodedata.is_normalized("NFC", base):
-        before = [0, *accumulate(map(len, texts))]
+        before = [0, *accumulate(len(x) + 1 for x in texts)]
         places = [(before[k] + a, before[k] + b) for k, a, b in spans]
     else:
         parts = [unicodedata.normalize("NFC", texts[k][a:b]) for k, a, b in spans]
-        base, places = "".join(parts), [(e - len(x), e) for e, x in zip(accumulate(map(len, parts)), parts, strict=True)]
-    starts, ends = np.array([a for a, _ in places]), np.array([b for _, b in places])
-    first, last = int(starts.min(initial=len(base))), int(ends.max(initial=0))
-    rows, keys = np.arange(n) * 2 * d, []
-    for size in range(r.least_gram, r.most_gram + 1):
-        counts = np.maximum(ends - starts - size + 1, 0)
-        total = int(counts.sum())
-        if total:
-            codes = np.array([gram_place(base[i : i + size], d) for i in range(first, last - size + 1)])
-            keys.append(codes[np.arange(total) + np.repeat(starts - first - np.cumsum(counts) + counts, counts)] + np.repeat(rows, counts))
-    counted = np.bincount(np.concatenate(keys), minlength=2 * n * d).reshape(n, 2, d) if keys else np.zeros((n, 2, d), int)
-    vectors = (counted[:, 0] - counted[:, 1]).astype(np.float64)
-    for row, (a, b), (k, start, end) in zip(vectors, places, spans, strict=True):
-        raw, text = texts[k], base[a:b]
-        weighted = [(f"len:{min(32, len(text) // 2)}", 0.5), (f"left:{raw[max(0, start - 3) : start] or '<BOS>'}", 0.75), (f"right:{raw[end : end + 3] or '<EOS>'}", 0.75)]
-        weighted += [(name, w) for name, w, holds in (("shape:digit", 1.5, _digit.search(text)), ("shape:thai", 1.5, _thai.search(text)), ("shape:numeric", 2.0, _plain_numeric.match(text))) if holds]
-        for name, weight in weighted:
-            at, sign = slot(name, d)
-            row[at] += sign * weight
-    norms = np.sqrt(np.einsum("ij,ij->i", vectors, vectors))
+        base, places = "\n".join(parts), [(e - len(x) - 1, e - 1) for e, x in zip(accumulate(len(x) + 1 for x in parts), parts, strict=True)]
+    if not n:
+        return np.zeros((0, d), np.float32)
+    starts, ends = np.array(places).T
+    lengths, rows = ends - starts, np.arange(n)
+    first, last = int(starts.min()), int(ends.max())
+    # Single precision holds quarters, and the sixteenths of their squares, exactly up to these bounds.
+    exact = np.float32 if (last - first) * (most - least + 1) < 1 << 20 and ((most - least + 1) * int(lengths.max()) + 8) ** 2 < 1 << 20 else np.float64
+    from_starts, start_of, start_row = np.unique(starts, return_index=True, return_inverse=True)
+    to_ends, end_of, end_row = np.unique(ends, return_index=True, return_inverse=True)
+
+    found = np.frombuffer(b"".join([window_places(base[i : i + most], least, most, d) for i in range(first, last)]), np.int32).reshape(last - first, most - least + 2)
+    codes, kinds, at = found[:, :-1], found[:, -1], np.arange(first, last)[:, None]
+    signs = np.where(codes < d, 1.0, -1.0).ravel()
+    slots = codes % d
+
+    def summed(bins: np.ndarray, count: int) -> np.ndarray:
+        out = np.bincount((bins * d + slots).ravel(), signs, minlength=(count + 1) * d)[: count * d].reshape(count, d).astype(exact, copy=False)
+        for above, row in pairwise(out):
+            row += above
+        return out
+
+    begun = summed(np.searchsorted(from_starts, at, "right"), len(from_starts))
+    ended = summed(np.searchsorted(to_ends, at + np.arange(least, most + 1), "left"), len(to_ends))
+    for row, k in enumerate(start_of.tolist()):
+        k, start, _ = spans[k]
+        place, sign = slot(f"left:{texts[k][max(0, start - 3) : start] or '<BOS>'}", d)
+        begun[row, place] -= 0.75 * sign
+    for row, k in enumerate(end_of.tolist()):
+        k, _, end = spans[k]
+        place, sign = slot(f"right:{texts[k][end : end + 3] or '<EOS>'}", d)
+        ended[row, place] += 0.75 * sign
+    vectors = ended[end_row]
+    vectors -= begun[start_row]
+    for row in np.flatnonzero(lengths < most - 1).tolist():  # so short that an n-gram may begin before its start and end after its end, which was taken off
+        a, b = places[row]
+        for i in range(max(first, b - most + 1), a):
+            for size in range(max(least, b - i + 1), most + 1):
+                code = int(codes[i - first, size - least])
+                vectors[row, code % d] += 1 if code < d else -1
+    place, sign = length_slots(d)
+    half = np.minimum(lengths // 2, 32)
+    vectors[rows, place[half]] += 0.5 * sign[half]
+    held = np.concatenate(([[0, 0, 0]], np.cumsum(kinds[:, None] >> np.arange(3) & 1, axis=0)))
+    held = held[ends - first] - held[starts - first]
+    for name, weight, holds in (("shape:digit", 1.5, held[:, 0] > 0), ("shape:thai", 1.5, held[:, 1] > 0), ("shape:numeric", 2.0, (held[:, 2] == lengths) & (lengths > 0))):
+        place, sign = slot(name, d)
+        vectors[holds, place] += sign * weight
+    norms = np.sqrt(np.einsum("ij,ij->i", vectors, vectors).astype(np.float64))
     norms[norms == 0] = 1.0
-    return vectors.astype(np.float32) / norms.astype(np.float32)[:, None]
+    vectors = vectors.astype(np.float32, copy=False)
+    vectors /= norms.astype(np.float32)[:, None]
+    return vectors
 
 
 def bucket(distance: int | None) -> str:

@@ -19,35 +19,45 @@ from .kernel import FIELD, Gazetteer, Parser
 from .scoring import LABELS, Resources, candidate_features, logit, sigmoid, span_matrix
 
 
-#: Texts whose spans are made into vectors at once: enough to share the cost of a call, few enough for their vectors to stay small.
+#: Texts whose spans, or whose candidates, are made into vectors at once: enough to share the cost of a call, few enough for their vectors to stay small.
 TEXTS_AT_ONCE = 64
+CANDIDATES_OF = 8
 
 
 def _unit(v: np.ndarray) -> np.ndarray:
     return v / (np.linalg.norm(v) or 1.0)
 
 
-def _vectors(sums: list, dimension: int, *keys: str) -> dict:
-    """Rows (keys..., idx, value) as dense vectors: labels times dimension at most."""
-    out: dict = {}
-    for r in sums:
-        out.setdefault(tuple(r[k] for k in keys), np.zeros(dimension))[r.idx] = r.value
-    return out
+_SUMS = pa.schema([("k", pa.int32()), ("packed", pa.binary())])
 
 
-def _sums(vectors: np.ndarray, weights: np.ndarray, keys: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
-    """What a task adds: a row for each key and slot, its summed value; weights go as slot -1."""
-    rows = [(*key, -1, float(weights[k])) for k, key in enumerate(keys) if weights[k]]
-    rows += [(*keys[k], int(i), float(vectors[k, i])) for k, i in zip(*np.nonzero(vectors), strict=True)]
-    return pa.RecordBatch.from_pylist([dict(zip(schema.names, x, strict=True)) for x in rows], schema=schema)
+def _sums(vectors: np.ndarray, weights: np.ndarray) -> pa.RecordBatch:
+    """What a task adds: a row for each vector, its weight before it."""
+    held = np.column_stack((weights, vectors))
+    k = np.flatnonzero(held.any(axis=1))
+    return pa.RecordBatch.from_arrays([pa.array(k, pa.int32()), pa.array([held[x].tobytes() for x in k], pa.binary())], schema=_SUMS)
+
+
+def _added(records: DataFrame, add, count: int, dimension: int) -> tuple[np.ndarray, np.ndarray]:
+    """The vectors and weights that tasks of `add` sum up, added once more, a task for each vector: the driver gets one row of it."""
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros((count, 1 + dimension))
+        for batch in batches:
+            for k, packed in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                held[k] += np.frombuffer(packed)
+        yield _sums(held[:, 1:], held[:, 0])
+
+    held = np.zeros((count, 1 + dimension))
+    for row in records.mapInArrow(add, "k int, packed binary").repartitionById(count, F.col("k")).mapInArrow(merge, "k int, packed binary").collect():
+        held[row.k] = np.frombuffer(row.packed)
+    return held[:, 1:], held[:, 0]
 
 
 def fit_centroids(records: DataFrame, r: Resources, other_as_negative: bool = False) -> dict:
     """From (raw, spans[label, start, end], weight): per label, the weighted mean of its spans less that of the others, of length one. Each task adds up its records, so labels times dimension rows of it move."""
     labels = (*LABELS, *(("OTHER",) if other_as_negative else ()))
     row_of = {label: k for k, label in enumerate(labels)}
-    schema = "label string, idx int, value double"
-    arrow = to_arrow_schema(T._parse_datatype_string(schema))
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vectors, weights = np.zeros((len(labels), r.dimension)), np.zeros(len(labels))
@@ -66,14 +76,12 @@ def fit_centroids(records: DataFrame, r: Resources, other_as_negative: bool = Fa
                     dealt[[k for k, _ in shares], range(len(found))] = [weight for _, weight in shares]
                     vectors += dealt @ span_matrix([x or "" for x in texts], found, r)
                     weights += dealt.sum(axis=1)
-        yield _sums(vectors, weights, [(label,) for label in labels], arrow)
+        yield _sums(vectors, weights)
 
     rows = _dealt(records.select("raw", "spans", F.col("weight").cast("double").alias("weight")))
-    sums = rows.mapInArrow(add, schema).groupBy("label", "idx").agg(F.sum("value").alias("value")).collect()
-    weights = {x.label: x.value for x in sums if x.idx < 0}
-    vectors = {k[0]: v for k, v in _vectors([x for x in sums if x.idx >= 0], r.dimension, "label").items()}
-    whole, total = sum(vectors.values(), np.zeros(r.dimension)), sum(weights.values())
-    return {label: (_unit(vectors[label] / weights[label] - (whole - vectors[label]) / (total - weights[label])), 0.0) for label in LABELS if 0 < weights.get(label, 0) < total}
+    vectors, weights = _added(rows, add, len(labels), r.dimension)
+    whole, total = vectors.sum(axis=0), weights.sum()
+    return {label: (_unit(vectors[k] / weights[k] - (whole - vectors[k]) / (total - weights[k])), 0.0) for label, k in row_of.items() if label in LABELS and 0 < weights[k] < total}
 
 
 def fit_contrast(records: DataFrame, places: list[dict], r: Resources, negatives: int = 32) -> dict:
@@ -81,44 +89,39 @@ def fit_contrast(records: DataFrame, places: list[dict], r: Resources, negatives
     if negatives <= 0:
         raise ValueError("negatives must be positive")
 
-    keys = [(label, side) for label in LABELS for side in (0, 1)]
-    schema = "label string, side int, idx int, value double"
-    arrow = to_arrow_schema(T._parse_datatype_string(schema))
+    group_of = {label: 2 * n for n, label in enumerate(LABELS)}  # the wrong ones, and after them the right ones
+    count = 2 * len(LABELS)
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parser = Parser(Gazetteer(places))
-        vectors, weights = np.zeros((len(keys), r.dimension)), np.zeros(len(keys))
+        vectors, weights = np.zeros((count, r.dimension)), np.zeros(count)
         for batch in batches:
-            for row in batch.to_pylist():
-                if not row["weight"]:
-                    continue
-                scan, seeds, _ = parser.seeds(row["raw"])
-                parser.score(scan, seeds)
-                groups = []
-                for n, label in enumerate(LABELS):
-                    expected = row[FIELD[label]]
-                    mine = [s for s in seeds if s.label == label]
-                    wrong = sorted((s for s in mine if s.canonical != expected), key=lambda s: (-s.evidence, -s.score))[:negatives]
-                    groups += [(2 * n, wrong), (2 * n + 1, [s for s in mine if s.canonical == expected])]
-                at: dict[tuple, int] = {}
-                for _, group in groups:
-                    for s in group:
-                        at.setdefault((s.start, s.end), len(at))
-                if at:
-                    shares = np.zeros((len(keys), len(at)))
-                    for k, group in groups:
+            for first in range(0, batch.num_rows, CANDIDATES_OF):
+                rows, shares, at = batch.slice(first, CANDIDATES_OF).to_pylist(), [], {}
+                for text, row in enumerate(rows):
+                    if not row["weight"]:
+                        continue
+                    scan, seeds, _ = parser.seeds(row["raw"] or "")
+                    parser.score(scan, seeds)
+                    groups = [[] for _ in range(count)]
+                    for s in seeds:
+                        groups[group_of[s.label] + (s.canonical == row[FIELD[s.label]])].append(s)
+                    for k, group in enumerate(groups):
+                        if not k % 2:
+                            group = sorted(group, key=lambda s: (-s.evidence, -s.score))[:negatives]
                         if group:
                             weights[k] += row["weight"]
-                            for s in group:
-                                shares[k, at[s.start, s.end]] += row["weight"] / len(group)
-                    vectors += shares @ span_matrix([row["raw"]], [(0, *span) for span in at], r)
-        yield _sums(vectors, weights, keys, arrow)
+                            share = row["weight"] / len(group)
+                            shares += [(k, at.setdefault((text, s.start, s.end), len(at)), share) for s in group]
+                if at:
+                    k, place, share = zip(*shares, strict=True)
+                    dealt = np.bincount(np.array(k) * len(at) + place, share, minlength=count * len(at)).reshape(count, len(at))
+                    vectors += dealt @ span_matrix([row["raw"] or "" for row in rows], list(at), r)
+        yield _sums(vectors, weights)
 
     rows = _dealt(records.select("raw", F.col("weight").cast("double").alias("weight"), *FIELD.values()))
-    sums = rows.mapInArrow(add, schema).groupBy("label", "side", "idx").agg(F.sum("value").alias("value")).collect()
-    weights = {(x.label, x.side): x.value for x in sums if x.idx < 0}
-    v = _vectors([x for x in sums if x.idx >= 0], r.dimension, "label", "side")
-    return {label: (_unit(v[label, 1] / weights[label, 1] - v[label, 0] / weights[label, 0]), 0.0) for label in LABELS if (label, 1) in weights and (label, 0) in weights}
+    vectors, weights = _added(rows, add, count, r.dimension)
+    return {label: (_unit(vectors[k + 1] / weights[k + 1] - vectors[k] / weights[k]), 0.0) for label, k in group_of.items() if weights[k] and weights[k + 1]}
 
 
 def fit_pairwise(records: DataFrame, places: list[dict], r: Resources, epochs: int = 6, rate: float = 0.04, l2: float = 1e-5, negatives: int = 8) -> dict:

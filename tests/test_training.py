@@ -1,8 +1,13 @@
 """Fitting of directions against plain loops over the same records."""
 
+import random
+import re
+import unicodedata
+
 import pytest
 
-from tambon.operators import scoring, training
+from tambon.functions import thai_text as text
+from tambon.operators import kernel, scoring, training
 from tambon.operators.kernel import FIELD, Gazetteer, Parser
 from tambon.operators.scoring import Resources
 
@@ -154,3 +159,96 @@ def test_a_task_sends_its_sums_not_its_records(spark, frame, monkeypatch):
     monkeypatch.setattr(training, "_sums", counted)
     training.fit_contrast(frame.unionByName(frame).unionByName(frame), PLACES, MIX)
     assert 0 < sent.value <= 2 * len(FIELD) * (MIX.dimension + 1)
+
+
+ODD = ["คุณ", "นาง", "นางสาว", "บ้านเลขที่", "ถนน", "คอนโด", "ต.", "อ.", "จ.", "ตำบล", "ต .", "ผู้รับ:", "ที่อยู่:", "โทร:", "0812345678", " ", "  ", "\n", "\r\n", ",", ";", "|", "61110", "นาดี", "บ้านสุข", "ลำธาร", "1/2", "é", "é", "😀", "　", "ด.ช.", "เมือง", "๑๒", "A"]
+
+
+def odd_texts(n):
+    dice = random.Random(7)
+    return ["", " ", ",;", *("".join(dice.choices(ODD, k=dice.randrange(1, 24))) for _ in range(n))]
+
+
+def test_candidates_of_several_messages_become_vectors_in_one_call(spark, frame, monkeypatch):
+    calls, sent, plain, sums = spark.sparkContext.accumulator(0), spark.sparkContext.accumulator(0), scoring.span_matrix, training._sums
+    monkeypatch.setattr(training, "_dealt", lambda records: records.coalesce(1))
+
+    def matrix(*args):
+        calls.add(1)
+        return plain(*args)
+
+    def counted(*args):
+        out = sums(*args)
+        sent.add(out.num_rows)
+        return out
+
+    monkeypatch.setattr(training, "span_matrix", matrix)
+    monkeypatch.setattr(training, "_sums", counted)
+    weighted = sum(x[2] > 0 for x in records())
+    training.fit_contrast(frame, PLACES, MIX)
+    assert 0 < calls.value <= -(-len(records()) // training.CANDIDATES_OF) < weighted
+    assert 0 < sent.value <= 2 * 2 * len(FIELD)  # a row per label and side, from the one task and where they are merged
+
+
+def test_a_record_without_text_adds_nothing(spark, frame):
+    empty = spark.createDataFrame([(99, None, 1.0, [], *[None] * 7), (98, "", 1.0, [], *[None] * 7)], KINDS)
+    want = {label: vector for label, (vector, _) in training.fit_contrast(frame, PLACES, MIX).items()}
+    close(training.fit_contrast(frame.unionByName(empty), PLACES, MIX), want)
+
+
+def test_what_a_segments_start_decides_is_looked_up_once(monkeypatch):
+    starts, plain = [], kernel.Scan.beginning
+    monkeypatch.setattr(kernel.Scan, "beginning", lambda scan, start: starts.append(start) or plain(scan, start))
+    Parser(Gazetteer(PLACES)).seeds(records()[0][1])
+    assert len(starts) == len(set(starts)) > 1
+
+
+def plain_evidence(scan, start, end):
+    """Evidence of one segment, each rule by its pattern."""
+    raw = scan.raw
+    after = lambda ranges: any(not text.strip(raw[x[1] : start]) for x in ranges)
+    has = lambda pattern: re.compile(pattern).search(raw, start, end)
+    word, digit, title = has(text.ADDRESS_WORD), has("[0-9]"), re.compile(text.TITLE).match(raw, start, end)
+    prefixes = sum(a[0] < end and start < a[1] for a in scan.admin)
+    thai = sum("ก" <= c <= "๙" for c in raw[start:end])
+    first = not text.strip(raw[:start]) and scan.last_phone > end and "\n" not in raw[start:end]
+    name = 0.96 if after(scan.to) or first else 0.94 if title else 0.62 if not digit and thai / (end - start) > 0.7 else 0.2
+    address = 0.94 if after(scan.at) or word or re.compile("[0-9]").match(raw, start, end) else 0.45
+    before_admin = any(a[0] >= end and not text.strip(raw[end : a[0]]) for a in scan.coherent)
+    starts_line = start == 0 or after(b for b in scan.breaks if b[1] <= start)
+    address += sum([-0.4 * bool(title), 0.04 * before_admin, -0.08 * (prefixes > 1), 0.04 * starts_line, -0.02 * (prefixes > 0 and "," in raw[start:end])])
+    return max(0.0, name - 0.5 * bool(word or digit)), max(0.0, address)
+
+
+def test_segments_have_the_evidence_of_each_rule():
+    parser, seen = Parser(Gazetteer(PLACES)), 0
+    for raw in [*(x[1] for x in records()), *odd_texts(400)]:
+        scan, seeds, _ = parser.seeds(raw)
+        for s in seeds:
+            if s.source == "segment":
+                want = plain_evidence(scan, s.start, s.end)[s.label == "ADDRESS_DETAIL"]
+                assert s.evidence == pytest.approx(want, abs=1e-12), (raw, s)
+                seen += 1
+        spans = [(s.label, s.start, s.end) for s in seeds if s.source == "segment"]
+        assert len(spans) == len(set(spans))
+    assert seen > 3000
+
+
+@pytest.mark.parametrize("least, most", [(1, 4), (2, 3), (3, 5)])
+def test_span_vectors_are_those_of_counted_n_grams(least, most):
+    r = Resources("c", 37, "char-ngram-v2", least, most, scoring="label-mix-v1")
+    texts = odd_texts(12)
+    spans = [(k, a, b) for k, x in enumerate(texts) for a in range(0, len(x) + 1, 2) for b in (a, a + 1, a + 2, a + 3, len(x)) if b <= len(x)]
+    for some in ([k for k, x in enumerate(texts) if unicodedata.is_normalized("NFC", x)], range(len(texts))):
+        chosen = [x for x in spans if x[0] in some]
+        found = scoring.span_matrix([x if k in some else "" for k, x in enumerate(texts)], chosen, r)
+        for row, (k, a, b) in zip(found, chosen, strict=True):
+            raw, part, want = texts[k], unicodedata.normalize("NFC", texts[k][a:b]), [0.0] * 37
+            names = [(f"g{len(g)}:{g}", 1) for g in scoring.grams(part, least, most)]
+            names += [(f"len:{min(32, len(part) // 2)}", 0.5), (f"left:{raw[max(0, a - 3) : a] or '<BOS>'}", 0.75), (f"right:{raw[b : b + 3] or '<EOS>'}", 0.75)]
+            names += [(f"shape:{name}", w) for name, w, pattern in (("digit", 1.5, ".*[0-9]"), ("thai", 1.5, ".*[ก-๙]"), ("numeric", 2.0, rf"[+0-9{text.S}-]+\Z")) if re.match(pattern, part, re.S)]
+            for name, w in names:
+                at, sign = scoring.slot(name, 37)
+                want[at] += sign * w
+            norm = sum(x * x for x in want) ** 0.5 or 1.0
+            assert row.tolist() == pytest.approx([x / norm for x in want], abs=1e-6), (raw, a, b)
